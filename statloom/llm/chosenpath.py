@@ -4,12 +4,14 @@ Every distinct shingle set gets ``POSITIONS`` minwise tokens. Each of ``TREES``
 one node. A node picks ``BRANCH`` positions by hash, and a set goes to the child named by the position and its own token
 there, so two sets of similarity s share a child with chance 1 - (1 - s)**BRANCH at each node. Two levels are always
 taken; a node that still has more than ``SMALL`` sets recurses, a smaller one is compared exhaustively by two bits of each
-token. At the threshold 0.8 a tree misses a pair with chance below 0.0625 at any depth, so four trees miss 2e-5 of such pairs,
-and less of closer ones.
-
-Links are confirmed on full sets. A node first offers a forest (each set with the first set like it); once those links have
-made components, it is looked at again and offers every pair that still crosses two components. A large group of
-near copies thus costs a few links for each of its members, not all pairs, and no link between components is lost.
+token. At the threshold 0.8 a tree misses a pair with chance below 0.0625 at any depth, so four trees miss 2e-5 of such pairs;
+the comparison by bits, at three and a half standard deviations, misses 3e-4 of them; both miss far less of closer pairs.
+
+Links are confirmed on full sets. A node first offers for each set the MOST others that look most alike; once those links have
+made components, a node that had more is looked at again and offers eight times as many of the pairs that still cross two components.
+A node that has even more gets the full sets of its members and confirms all such pairs itself, best first, joining components as
+it goes. A large group of near copies thus costs a few links for each of its members, not all pairs, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -25,11 +27,15 @@ from pyspark.sql import functions as F
 from statloom.llm.common import Scratch, hash_words, mix, slices, texts, with_row_id
 from statloom.llm.components import components
 
-POSITIONS, TREES, BRANCH, DEPTH = 64, 4, 2, 2
+POSITIONS, TREES, BRANCH, DEPTH = 128, 4, 2, 2
+#: Nodes of a set on the DEPTH-th level of all trees.
+NODES = TREES * BRANCH**DEPTH
 #: Sets in a node that are compared exhaustively.
 SMALL = 8192
 #: Nodes up to this size offer all their pairs at once.
-TINY = 24
+TINY = 8
+#: Partners that a set is offered with at first.
+MOST = 2
 #: Partners of a verification team, which gets its leader's set once.
 CHUNK = 64
 #: Rows of a side that is broadcast at most (24 bytes each).
@@ -71,19 +77,20 @@ def _summary(k: int):
                     for i, m in enumerate(_MULTIPLY):
                         np.multiply(joined, m, out=buffer)
                         tokens[full, i] = (mix(np.minimum.reduceat(buffer, starts)) >> np.uint64(32)).astype(np.uint32)
-                bits = np.arange(POSITIONS, dtype=np.uint64)
-                planes = [(((tokens >> np.uint32(p)) & np.uint32(1)).astype(np.uint64) << bits).sum(axis=1, dtype=np.uint64).view(np.int64) for p in (0, 1)]
+                bits = np.arange(64, dtype=np.uint64)
+                planes = [(((tokens[:, at : at + 64] >> np.uint32(p)) & np.uint32(1)).astype(np.uint64) << bits).sum(axis=1, dtype=np.uint64).view(np.int64) for at in (0, 64) for p in (0, 1)]
                 yield pa.record_batch({
                     "rid": b.column("rid")[part.start : part.stop], "doc_id": b.column("doc_id")[part.start : part.stop],
                     "n": pa.array(sizes.astype(np.int64)), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    "p0": pa.array(planes[0]), "p1": pa.array(planes[1]), "tokens": pa.array([t.tobytes() for t in tokens], pa.binary()),
+                    **{f"p{i}": pa.array(x) for i, x in enumerate(planes)}, "tokens": pa.array([t.tobytes() for t in tokens], pa.binary()),
                     "members": pa.array([s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes() for s in sets], pa.binary()),
                 })
 
     return run
 
 
-_SUMMARY = "rid long, doc_id long, n long, digest binary, p0 long, p1 long, tokens binary, members binary"
+PLANES = ("p0", "p1", "p2", "p3")
+_SUMMARY = "rid long, doc_id long, n long, digest binary, p0 long, p1 long, p2 long, p3 long, tokens binary, members binary"
 
 
 def _children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,75 +110,96 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, POSITIONS)
 
 
+def _first_nodes(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each tree's nodes on its DEPTH-th level, and their rows."""
+    for tree in range(TREES):
+        nodes, rows = np.full(len(tokens), mix(np.uint64([tree + 1]))[0]), np.arange(len(tokens))
+        for _ in range(DEPTH):
+            nodes, own = _children(nodes, tokens[rows])
+            rows = rows[own]
+        yield nodes, rows
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (rid, n, p0, p1, tokens) to the nodes of every tree's DEPTH-th level."""
+    """Batches of (rid, n, planes, tokens) to the nodes of every tree's DEPTH-th level."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        tokens = _tokens(b.column("tokens"))
-        for tree in range(TREES):
-            nodes, rows = np.full(len(tokens), mix(np.uint64([tree + 1]))[0]), np.arange(len(tokens))
-            for _ in range(DEPTH):
-                nodes, own = _children(nodes, tokens[rows])
-                rows = rows[own]
-            yield _node_rows(nodes, b.take(pa.array(rows)))
+        if b.num_rows:
+            for nodes, rows in _first_nodes(_tokens(b.column("tokens"))):
+                yield _node_rows(nodes, b.take(pa.array(rows)))
 
 
 def _node_rows(nodes: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.record_batch({"node": pa.array(nodes.view(np.int64)), "rid": b.column("rid"), "n": b.column("n"), "p0": b.column("p0"), "p1": b.column("p1")})
+    return pa.record_batch({"node": pa.array(nodes.view(np.int64))} | {k: b.column(k) for k in ("rid", "n", *PLANES)})
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (node, rid, n, p0, p1, tokens) to the node's children."""
+    """Batches of (node, rid, n, planes, tokens) to the node's children, with no earlier node."""
     for b in batches:
         if b.num_rows:
             nodes, rows = _children(b.column("node").to_numpy().view(np.uint64), _tokens(b.column("tokens")))
-            yield _node_rows(nodes, b.take(pa.array(rows)))
+            out = _node_rows(nodes, b.take(pa.array(rows)))
+            yield out.append_column("earlier", pa.array([b""] * len(nodes), pa.binary()))
+
+
+def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (node, rid, n, planes, tokens) with the set's nodes that come before this one."""
+    for b in batches:
+        if b.num_rows:
+            seen = np.empty((b.num_rows, NODES), np.uint64)
+            at = 0
+            for nodes, rows in _first_nodes(_tokens(b.column("tokens"))):
+                order = np.argsort(rows, kind="stable")
+                seen[:, at : at + BRANCH**DEPTH] = nodes[order].reshape(b.num_rows, -1)
+                at += BRANCH**DEPTH
+            own = b.column("node").to_numpy().view(np.uint64)
+            same = seen == own[:, None]
+            before = np.where(same.any(axis=1), same.argmax(axis=1), 0)
+            out = _node_rows(own, b)
+            yield out.append_column("earlier", pa.array([x[:k].tobytes() for x, k in zip(seen, before, strict=True)], pa.binary()))
 
 
-_NODE = "node long, rid long, n long, p0 long, p1 long"
+_NODE = "node long, rid long, n long, p0 long, p1 long, p2 long, p3 long"
 
 
 class _Group:
     """Arrays of one node's sets."""
 
-    def __init__(self, rid, n, p0, p1, label, threshold, least):
-        self.rid, self.n, self.p0, self.p1, self.label = rid, n, p0, p1, label
+    def __init__(self, c: dict[str, np.ndarray], threshold: float, least: int):
+        self.rid, self.n, self.label, self.planes = c["rid"], c["n"], c["label"], [c[k] for k in PLANES]
         self.threshold, self.least = threshold, least
+        self.earlier = None
+        if "earlier" in c and (most := max(map(len, c["earlier"]))):
+            self.earlier = np.stack([np.frombuffer(x.ljust(most, b"\0"), np.uint64) for x in c["earlier"]])
+            self.before = np.array([len(x) // 8 for x in c["earlier"]])
 
-    def like(self, i: int, others: np.ndarray | slice) -> np.ndarray:
-        """Which of the others may reach the threshold with set i and are in another component."""
-        differ = (self.p0[others] ^ self.p0[i]) | (self.p1[others] ^ self.p1[i])
-        n = self.n[others]
-        near = POSITIONS - np.bitwise_count(differ).astype(np.int64) >= self.least
-        return near & (np.minimum(n, self.n[i]) >= self.threshold * np.maximum(n, self.n[i]) - 1e-9) & (self.label[others] != self.label[i])
-
-    def forest(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Each set that is like an earlier one that leads, with that one."""
-        a, b, rest = [], [], np.arange(len(self.rid))
-        while len(rest) > 1:
-            lead, others = rest[0], rest[1:]
-            hit = self.like(lead, others)
-            if hit.any():
-                a.append(np.full(int(hit.sum()), self.rid[lead])), b.append(self.rid[others[hit]])
-            rest = others[~hit]
-        return a, b
-
-    def every(self, first: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """All pairs of one of the first sets with a later one."""
-        a, b = [], []
+    def candidates(self, first: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each of the first sets with the later ones that may reach the threshold, are in another component and didn't meet it in an earlier node, the best first."""
         for i in range(min(first, len(self.rid) - 1)):
-            hit = np.flatnonzero(self.like(i, slice(i + 1, None)))
+            rest = slice(i + 1, None)
+            agree = agreement(*((p[i], p[rest]) for p in self.planes))
+            n = self.n[rest]
+            hit = np.flatnonzero((agree >= self.least) & (np.minimum(n, self.n[i]) >= self.threshold * np.maximum(n, self.n[i]) - 1e-9) & (self.label[rest] != self.label[i]))
+            if self.earlier is not None and len(hit):
+                k = self.before[i]
+                hit = hit[~(self.earlier[hit + i + 1, :k] == self.earlier[i, :k]).any(axis=1)]
             if len(hit):
-                a.append(np.full(len(hit), self.rid[i])), b.append(self.rid[hit + i + 1])
-        return a, b
+                yield i, hit[np.argsort(-agree[hit], kind="stable")] + i + 1
 
 
-def _offer(threshold: float, full: bool):
-    """Batches sorted by node and, if full, with the most frequent component last; gives pairs (kind 0) and sets whose node is looked at again (1)."""
-    # two bits of a token agree with chance s + (1 - s) / 4; five standard deviations below that
-    p = threshold + (1 - threshold) / 4
-    least = int(POSITIONS * (p - 5 * (p * (1 - p) / POSITIONS) ** 0.5))
+def agreement(*planes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Positions at which both bits agree; two planes for each 64 positions."""
+    (a0, b0), (a1, b1), (a2, b2), (a3, b3) = planes
+    return POSITIONS - (np.bitwise_count((a0 ^ b0) | (a1 ^ b1)).astype(np.int64) + np.bitwise_count((a2 ^ b2) | (a3 ^ b3)))
+
+
+def _offer(threshold: float, full: bool, most: int):
+    """Batches sorted by node and, if full, with the most frequent component last; gives pairs (kind 0), up to ``most`` for a set, and the sets of nodes that have more (1)."""
+    least = _least_agreement(threshold)
+
+    def offered(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        a.clear(), b.clear()
+        return pa.record_batch({"kind": pa.array(np.zeros(len(x), np.int8)), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
     def tiny(c: dict[str, np.ndarray], at: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs within nodes of up to TINY sets; left: how many sets of its node follow each."""
@@ -180,16 +208,16 @@ def _offer(threshold: float, full: bool):
             if not len(at):
                 return
             i, j = at, at + k
-            near = np.bitwise_count((c["p0"][i] ^ c["p0"][j]) | (c["p1"][i] ^ c["p1"][j])).astype(np.int64) <= POSITIONS - least
+            near = agreement(*((c[p][i], c[p][j]) for p in PLANES)) >= least
             i, j = i[near], j[near]
             ok = (np.minimum(c["n"][i], c["n"][j]) >= threshold * np.maximum(c["n"][i], c["n"][j]) - 1e-9) & (c["label"][i] != c["label"][j])
             if ok.any():
                 yield c["rid"][i[ok]], c["rid"][j[ok]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("node", "rid", "n", "p0", "p1", "label", "size", "other")
+        names = ("node", "rid", "n", *PLANES, "label", "size", "other", *(["earlier"] if full else []))
         for c in whole_groups(batches, names):
-            a, b, again = [], [], []
+            a, b = [], []
             starts = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
             ends = np.r_[starts[1:], len(c["node"])]
             size = ends - starts
@@ -198,22 +226,64 @@ def _offer(threshold: float, full: bool):
             for x, y in tiny(c, np.flatnonzero(np.repeat(small, size)), left):
                 a.append(x), b.append(y)
             for s, e in zip(starts[~small], ends[~small], strict=True):
-                group = _Group(*(c[k][s:e] for k in ("rid", "n", "p0", "p1", "label")), threshold, least)
-                if full:  # a part of a large node begins with all the sets outside its main component
-                    x, y = group.every(int(c["other"][s]) if c["other"][s] < c["size"][s] else e - s)
-                else:
-                    x, y = group.forest()
-                    if x or c["size"][s] > SMALL:
-                        again.append((c["node"][s:e], c["rid"][s:e]))
-                a += x
-                b += y
-            out = []
+                group = _Group({k: v[s:e] for k, v in c.items()}, threshold, least)
+                # if full, a part of a large node begins with all the sets outside its main component
+                more = not full and c["size"][s] > SMALL
+                for i, hit in group.candidates(int(c["other"][s])):
+                    a.append(np.full(min(most, len(hit)), group.rid[i])), b.append(group.rid[hit[:most]])
+                    more |= len(hit) > most
+                    if len(a) >= 5000:
+                        yield offered(a, b)
+                if more:
+                    yield pa.record_batch({"kind": pa.array(np.ones(e - s, np.int8)), "a": pa.array(c["node"][s:e]), "b": pa.array(c["rid"][s:e])})
             if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                out.append((np.zeros(len(x), np.int8), np.minimum(x, y), np.maximum(x, y)))
-            out += [(np.ones(len(x), np.int8), x, y) for x, y in again]
-            for kind, x, y in out:
-                yield pa.record_batch({"kind": pa.array(kind), "a": pa.array(x), "b": pa.array(y)})
+                yield offered(a, b)
+
+    return run
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEPT, 8), np.uint8)
+    out[:, :KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _least_agreement(threshold: float) -> int:
+    """Two bits of a token agree with chance s + (1 - s) / 4; three and a half standard deviations below that."""
+    p = threshold + (1 - threshold) / 4
+    return int(POSITIONS * (p - 3.5 * (p * (1 - p) / POSITIONS) ** 0.5))
+
+
+def _exact(threshold: float):
+    """Batches of full nodes with members, the most frequent component last; gives confirmed links, at most one less than a node's components."""
+    hundred = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in whole_groups(batches, ("node", "rid", "n", *PLANES, "label", "size", "other", "earlier", "members")):
+            starts = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
+            a, b = [], []
+            for s, e in zip(starts, np.r_[starts[1:], len(c["node"])], strict=True):
+                group = _Group({k: v[s:e] for k, v in c.items()}, threshold, _least_agreement(threshold))
+                sizes = np.array([len(m) // KEPT for m in c["members"][s:e]])
+                ends = np.cumsum(sizes)
+                ids = np.unique(_unpacked(b"".join(c["members"][s:e])), return_inverse=True)[1].astype(np.int32)
+                flag = np.zeros(len(ids) + 1, bool)
+                for i, hit in group.candidates(int(c["other"][s])):
+                    own = ids[ends[i] - sizes[i] : ends[i]]
+                    flag[own] = True
+                    for j in np.array_split(hit, -(-len(hit) // 256)):  # best first
+                        j = j[group.label[j] != group.label[i]]
+                        if not len(j):
+                            continue
+                        flat = np.concatenate([ids[ends[x] - sizes[x] : ends[x]] for x in j])
+                        both = np.add.reduceat(flag[flat].astype(np.int64), np.cumsum(sizes[j]) - sizes[j])
+                        for y in j[100 * both >= hundred * (sizes[j] + sizes[i] - both)]:
+                            if group.label[y] != group.label[i]:
+                                a.append(group.rid[i]), b.append(group.rid[y])
+                                group.label[group.label == group.label[y]] = group.label[i]
+                    flag[own] = False
+            if a:
+                yield pa.record_batch({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
 
     return run
 
@@ -224,7 +294,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> I
     head: dict[str, np.ndarray] = {}
     for b in batches:
         new = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
-        new |= {k: new[k].view(np.uint64) for k in ("p0", "p1")}  # bitwise_count takes absolute values of signed numbers
+        new |= {k: new[k].view(np.uint64) for k in PLANES}  # bitwise_count takes absolute values of signed numbers
         held = {k: np.concatenate([held[k], new[k]]) for k in names} if held else new
         while (total := len(held["node"])) > 2 * SMALL:
             last = held["node"][-1]
@@ -251,6 +321,7 @@ def _with_head(head: dict[str, np.ndarray], part: dict[str, np.ndarray]) -> dict
     return part
 
 
+_EARLIER = _NODE + ", earlier binary"
 _OFFER = "kind byte, a long, b long"
 
 
@@ -258,22 +329,17 @@ def _verify(threshold: float):
     """Batches of (a, team, lead, rid, members) sorted by a and team, a's own row first; gives the confirmed links."""
     hundred = round(threshold * 100)
 
-    def members(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // KEPT, 8), np.uint8)
-        out[:, :KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
-        return out.reshape(-1).view(np.uint64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, team, own = None, None, None
         for batch in batches:
             out = []
             for a, t, lead, rid, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "team", "lead", "rid", "members")), strict=True):
                 if lead:
-                    leader, team, own = a, t, members(raw)
+                    leader, team, own = a, t, _unpacked(raw)
                     continue
                 if (a, t) != (leader, team):
                     raise ValueError("a verification group has no leader")
-                other = members(raw)
+                other = _unpacked(raw)
                 small, large = (own, other) if len(own) < len(other) else (other, own)
                 at = np.searchsorted(large, small)
                 both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
@@ -314,7 +380,8 @@ class ChosenPath:
             return nodes.withColumn("label", F.col("rid")).withColumn("size", F.count("*").over(w)).where("size > 1").withColumn("other", F.col("size")).sortWithinPartitions("node")
         mixed = nodes.groupBy("node", "label").agg(F.count("*").alias("of")).groupBy("node").agg(F.sum("of").alias("size"), F.max_by("label", F.struct("of", "label")).alias("main"), F.max("of").alias("most"), F.count("*").alias("labels")).where("labels > 1")
         found = nodes.join(mixed, "node").withColumn("other", F.col("size") - F.col("most"))
-        return found.repartition("node").sortWithinPartitions("node", F.col("label") == F.col("main"), "rid").drop("main", "most", "labels")
+        found = found.withColumn("last", F.col("label") == F.col("main")).drop("main", "most", "labels")
+        return found.repartition("node").sortWithinPartitions("node", "last", "rid")
 
     def run(self, docs: DataFrame) -> DataFrame:
         """``docs``: (doc_id long, text string), other columns are ignored. Returns rid, doc_id, n_shingles, component_id (smallest doc_id reachable) and first (one row of each component).
@@ -328,35 +395,40 @@ class ChosenPath:
         light = sets.select("rid", "doc_id", "n", "digest")
         classes = scratch.save(light.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("digest", F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("least")))
         reps = sets.join(classes.select("rid"), "rid", "left_semi")
-        paths = reps.select("rid", "n", "p0", "p1", "tokens").mapInArrow(_paths, _NODE)
+        paths = reps.select("rid", "n", *PLANES, "tokens").mapInArrow(_paths, _NODE)
         links = labels = None
-        offered = []
-        nodes, full = paths, False
+        tested = None
+        nodes, full, most = paths, False, MOST
         while True:
             found = self.sized(nodes)
             large = (F.col("size") > SMALL) & ((F.col("other") > SMALL) | F.lit(not full))
-            offers = scratch.save((found.where(~large) if full else found).mapInArrow(_offer(self.threshold, full), _OFFER))
-            branch = scratch.save(found.where(large).join(reps.select("rid", "tokens"), "rid").mapInArrow(_branch, _NODE)) if full else None
-            pairs = offers.where("kind = 0").select("a", "b").distinct()
-            for old in offered:
-                pairs = pairs.join(old, ["a", "b"], "left_anti")
-            pairs = scratch.save(pairs)
-            offered.append(pairs)
-            new = self.confirmed(pairs, sets.select("rid", "members"))
+            branch = scratch.save(found.where(large).select("node", "rid", "n", *PLANES).join(reps.select("rid", "tokens"), "rid").mapInArrow(_branch, _EARLIER)) if full else None
+            if branch is not None and not branch.isEmpty():  # sets may have parted below an earlier node, which then doesn't count
+                found = found.withColumn("earlier", F.lit(b""))
+            if most > 8 * MOST:
+                again = None
+                rows = found.where(~large).join(sets.select("rid", "members"), "rid")
+                new = scratch.save(rows.repartition("node").sortWithinPartitions("node", "last", "rid").mapInArrow(_exact(self.threshold), "u long, v long"))
+            else:
+                offers = scratch.save((found.where(~large) if full else found).mapInArrow(_offer(self.threshold, full, most), _OFFER))
+                pairs = offers.where("kind = 0").select("a", "b").distinct()
+                pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+                tested = pairs
+                new = self.confirmed(pairs, sets.select("rid", "members"))
+                again = offers.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rid")).distinct()
             links = new if links is None else scratch.save(links.union(new))
             if not new.isEmpty():
                 labels = components(links, scratch)
-            again = offers.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rid")).distinct()
-            todo = again.join(reps.select("rid", "n", "p0", "p1"), "rid")
-            if branch is not None:
-                todo = todo.select(*branch.columns).union(branch)
+            todo = branch
+            if again is not None:
+                todo = again.join(reps.select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier, _EARLIER)
+                todo = todo if branch is None else todo.union(branch)
             if labels is not None:
                 todo = todo.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
                 todo = todo.withColumn("label", F.coalesce("label", "rid"))
             else:
                 todo = todo.withColumn("label", F.col("rid"))
-            nodes, full = scratch.save(todo), True
-            scratch.drop(offers)
+            nodes, full, most = scratch.save(todo), True, most * 8
             if nodes.isEmpty():
                 break
         if labels is not None:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space is the only separator; bytes.split() splits at just these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 #: Words kept in a worker's hash cache before it starts anew.
 CACHE_WORDS = 300_000
 
@@ -32,6 +34,8 @@ class Scratch:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.gettempdir() + "/statloom-scratch"
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:  # whole texts are large rows
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
