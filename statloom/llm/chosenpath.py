@@ -383,14 +383,15 @@ class ChosenPath:
         found = found.withColumn("last", F.col("label") == F.col("main")).drop("main", "most", "labels")
         return found.repartition("node").sortWithinPartitions("node", "last", "rid")
 
-    def run(self, docs: DataFrame) -> DataFrame:
-        """``docs``: (doc_id long, text string), other columns are ignored. Returns rid, doc_id, n_shingles, component_id (smallest doc_id reachable) and first (one row of each component).
+    def run(self, docs: DataFrame, given: bool = False) -> DataFrame:
+        """``docs``: (doc_id long, text string), other columns are ignored but a unique long ``rid`` that is ``given``. Returns rid, doc_id, n_shingles, component_id (smallest doc_id reachable) and first (one row of each component).
 
         Null or empty text: an empty set that is linked with nothing. Null doc_id: sorts last; a component without any id
         has a null one. Repeated rows: each gets a row, all with the same component. Empty table: no row. Texts are read whole.
         """
         scratch = self.scratch
-        rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+        rows = docs.select(*(["rid"] if given else []), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        rows = rows if given else with_row_id(rows)
         sets = scratch.save(rows.mapInArrow(_summary(self.k), _SUMMARY))
         light = sets.select("rid", "doc_id", "n", "digest")
         classes = scratch.save(light.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("digest", F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("least")))

@@ -21,6 +21,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.langid import identify, train
+
+    return identify(spark, table(spark, sf_dir, "pages"), train(table(spark, sf_dir, "documents")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statloom.llm.packing import pack
 
@@ -33,6 +39,25 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.mih import nearest
+
+    return nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.weaklabel import classify
+
+    return classify(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.secrets import labelled, scan, train
+
+    found = scan(table(spark, sf_dir, "documents"), train(labelled(spark)), ["doc_id"], path=F.col("source"))
+    return found.where("secret").select("doc_id", "start", F.length("value").alias("length"), F.sha2(F.encode("value", "UTF-8"), 256).alias("value_sha256"), "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statloom.llm.rules import judge
 
@@ -46,6 +71,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.viterbi import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statloom.llm.chosenpath import ChosenPath
 
@@ -54,11 +85,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op3_substring_dedup": op3_substring_dedup,
-    "op7_quality_rules": op7_quality_rules,
-    "op8_mix_sources": op8_mix_sources,
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_best_fit_packing, op3_substring_dedup, op4_multi_index_hashing, op5_weak_label_quality, op6_secret_scan, op7_quality_rules, op8_mix_sources, op9_token_counts, op10_minhash_near_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op8_mix_sources": mix_sql()}

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.llm.common import Scratch
+
 #: Key names whose value is a candidate even if it is short. Fixed values.
 KEY_NAMES = "password|passwd|pwd|passphrase|secret|token|api_key|apikey|api-key|access_key|auth_key|private_key|credential|client_secret"
 #: A key block, the value of a named key, or a long run with a digit.
@@ -35,6 +37,8 @@ NEAR_FALSE = r"(?i)(example|sample|test|dummy|fake|commit|revision|sha|md5|check
 FALSE_PATH = r"(?i)(test|spec|mock|fixture|example|sample|docs?/|vendor|lock|\.min\.)"
 FORMATS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^sk-[A-Za-z0-9_-]{20}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{35}|^eyJ[A-Za-z0-9_-]+\.eyJ|^-----BEGIN"
 SEED = 6
+#: Rows with a secret that are broadcast at most, as a key and a few numbers each.
+BROADCAST_ROWS = 200_000
 
 
 def candidates(docs: DataFrame, text: str, keep: list[str], path: Column | None = None) -> DataFrame:
@@ -222,5 +226,6 @@ def redact(docs: DataFrame, forest: Forest, key: str, text: str = "text", path:
     t, hits = F.col(text), F.col("_found")
     ends = F.concat(F.array(F.lit(0)), F.transform(hits, lambda x: x["start"] + x["size"]))
     parts = F.transform(F.concat(F.transform(hits, lambda x: x["start"]), F.array(F.length(t))), lambda start, i: F.substr(t, F.get(ends, i) + 1, start - F.get(ends, i)))
-    joined = docs.join(found, key, "left")
+    found = Scratch(docs.sparkSession, "secrets").save(found)
+    joined = docs.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, key, "left")
     return joined.withColumn(text, F.when(hits.isNull(), t).otherwise(F.array_join(parts, mark))).drop("_found")
