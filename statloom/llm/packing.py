@@ -22,39 +22,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.common import Scratch, texts, with_row_id
+from statloom.llm.common import Scratch, slices, texts, with_row_id
 
 #: Pieces of a block, on average.
 BLOCK = 100_000
-CACHE_CHUNKS = 300_000
+#: Chunks that a worker's cache holds before it starts anew, about 200 bytes each.
+CACHE_CHUNKS = 1_200_000
+#: Characters of text that are encoded together.
+SHARE = 1_500_000
 
 #: White space outside ASCII, and the separators that Python alone counts as white space, in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 _CHUNK = re.compile(rb"\s*\S+|\s+")
 
 
-class _Chunks(dict):
-    """White space and the word after it -> its ids as little-endian bytes. The tokenizer never joins a word with the space that follows it, so a text's ids are those of its chunks."""
+class _Chunks:
+    """Ids of texts, from a cache of white space and the word after it: the tokenizer never joins a word with the space that follows it, so a text's ids are those of its chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def ids(self, text: bytes) -> bytes:
-        return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        value = self[chunk] = self.ids(chunk)
-        return value
-
-    def encode(self, text: bytes) -> bytes:
-        if _OTHER_SPACE.search(text):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id; the byte-level alphabet has a letter for each
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, text: bytes) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode chunks together where each begins with a space, and part the ids by their bytes."""
+        spaced = [c for c in chunks if c[0] == 32]
+        for c in chunks.difference(spaced):
+            self.known[c] = self.ids(c).tobytes()
+        for s in range(0, len(spaced), 1000):
+            own = spaced[s : s + 1000]
+            ids = self.ids(b"".join(own))
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            at = 4 * np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 4
+            raw = ids.tobytes()
+            self.known.update(zip(own, [raw[i:j] for i, j in zip([0, *at.tolist()], at.tolist(), strict=False)], strict=True))
+
+    def encode(self, docs: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        parts = [None if _OTHER_SPACE.search(d) else _CHUNK.findall(d) for d in docs]
+        new = set().union(*(set(p).difference(self.known) for p in parts if p))
+        if len(self.known) + len(new) > CACHE_CHUNKS:
+            self.known.clear()
+            new = set().union(*(p for p in parts if p))
+        self.learn(new)
+        return [self.ids(d).tobytes() if p is None else b"".join(map(self.known.__getitem__, p)) for d, p in zip(docs, parts, strict=True)]
 
 
 @functools.cache
@@ -79,8 +99,10 @@ def _pieces(path: str, end_id: int, most: int, with_ids: bool):
                     x.clear()
                 return pa.record_batch(out)
 
-            for i, text in enumerate(texts(b.column("text"))):
-                ids = encode(text) + end
+            docs = texts(b.column("text"))
+            encoded = (x for part in slices([len(t) for t in docs], SHARE) for x in encode(docs[part]))
+            for i, ids in enumerate(encoded):
+                ids += end
                 n = len(ids) // 4
                 cut, start, piece = n % most or most, 0, 0
                 while start < n:
