@@ -20,9 +20,9 @@ from statloom.llm.common import Scratch, hash_words, rolling, slices, texts
 
 WINDOW = 20
 #: Characters of text that a task hashes together.
-SHARE = 6_000_000
+SHARE = 3_000_000
 #: Entries that a partition sorts, on average.
-RANGE = 2_000_000
+RANGE = 1_000_000
 #: Bytes of intervals that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 #: A null doc_id sorts after every other.
