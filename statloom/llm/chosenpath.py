@@ -264,6 +264,7 @@ def _exact(threshold: float):
             a, b = [], []
             for s, e in zip(starts, np.r_[starts[1:], len(c["node"])], strict=True):
                 group = _Group({k: v[s:e] for k, v in c.items()}, threshold, _least_agreement(threshold))
+                group.label = group.label.copy()
                 sizes = np.array([len(m) // KEPT for m in c["members"][s:e]])
                 ends = np.cumsum(sizes)
                 ids = np.unique(_unpacked(b"".join(c["members"][s:e])), return_inverse=True)[1].astype(np.int32)
