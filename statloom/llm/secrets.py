@@ -117,7 +117,7 @@ class Forest:
         return out / len(self.trees)
 
 
-def grow(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, depth: int = 7, least: int = 4, seed: int = SEED) -> Forest:
+def grow(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 15, depth: int = 6, least: int = 3, seed: int = SEED) -> Forest:
     """A random forest by Gini impurity: bootstrap rows for each tree, a square root of the features for each split."""
     rng = np.random.default_rng(seed)
     tries = max(2, round(len(names) ** 0.5))
@@ -216,7 +216,9 @@ def scan(docs: DataFrame, forest: Forest, keep: list[str], text: str = "text", p
     """
     own = candidates(docs, text, keep, F.coalesce(path.cast("string"), F.lit("")) if path is not None else None)
     f = features()
-    scored = own.select("*", *(c.alias(f"f_{k}") for k, c in f.items())).withColumn("score", F.round(forest.column(), 6))
+    # written first: conditions on the score would otherwise repeat every feature's expression at each node of the forest
+    rows = Scratch(docs.sparkSession, "candidates").save(own.select("*", *(c.alias(f"f_{k}") for k, c in f.items())))
+    scored = rows.withColumn("score", F.round(forest.column(), 6))
     return scored.select(*keep, "start", "value", "before", "score", (F.col("score") >= at_least).alias("secret"))
 
 
