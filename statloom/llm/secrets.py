@@ -202,6 +202,7 @@ def labelled(spark: SparkSession, rows: int = 6000) -> DataFrame:
 def train(findings: DataFrame, most: int = 20_000) -> Forest:
     """``findings``: (id, text, path, label 0 or 1). Learns from the longest candidate of each, ``most`` at most, chosen by hash."""
     f = features()
+    findings = Scratch(findings.sparkSession, "findings").save(findings)
     own = candidates(findings, "text", ["id", "label"], F.col("path"))
     rows = own.select("id", "label", *(c.alias(k) for k, c in f.items())).where("label is not null").orderBy(F.xxhash64("id"), F.col("length").desc()).limit(most).collect()
     first = list({r["id"]: r for r in reversed(rows)}.values())

@@ -33,8 +33,9 @@ def labellers() -> dict[str, Column]:
     words, length, symbols, lines, repeats = feature("n_words"), feature("word_length"), feature("symbols"), feature("dup_lines"), feature("repeats")
     upper, marks, other, per_line = feature("upper"), feature("marks"), feature("other_marks"), feature("line_words")
     return dict([
-        vote("size", words < 10, words >= 60), vote("word_length", (length < 2.5) | (length > 14), (length >= 4) & (length <= 10)), vote("symbols", symbols > 0.08, (symbols == 0) & (words >= 60)), vote("dup_lines", lines > 0.3, (lines == 0) & (words >= 150)),
-        vote("repeats", repeats > 0.2, (repeats < 0.02) & (words >= 60)), vote("upper", upper > 0.4, upper < 0.08), vote("marks", marks > 0.25, marks < 0.02), vote("punctuation", (other == 0) | (other > 0.8), (other >= 0.02) & (other <= 0.4)), vote("lines", per_line < 3, per_line >= 8),
+        vote("size", words < 2, words >= 60), vote("word_length", (length < 2.5) | (length > 12), (length >= 4) & (length <= 6.5)), vote("symbols", symbols > 0.08, (symbols < 0.01) & (words >= 20)), vote("dup_lines", (lines > 0.4) & (words >= 60), (lines < 0.1) & (words >= 100)),
+        vote("repeats", repeats > 0.45, (repeats < 0.05) & (words >= 20)), vote("upper", upper > 0.4, upper < 0.08), vote("marks", marks > 0.25, marks < 0.02), vote("punctuation", ((other == 0) & (words >= 30)) | (other > 1.5), (other >= 0.05) & (other <= 0.3)),
+        vote("lines", per_line < 2, (per_line >= 6) & (per_line <= 150)),
     ])
 
 
