@@ -15,28 +15,38 @@ from statloom.llm.queries import table, tokenizer_file
 BROADCAST_ROWS = 1_000_000
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the base rules or the list learned from ``labels`` reject. Only labelled documents are read to learn."""
     labels = table(spark, sf_dir, "labels")
     known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.SAMPLE)
     stats = rules.text_stats(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id", "left_semi"))
     found = rules.learn_list(stats.drop("text"), labels)
-    judged = rules.text_stats(docs.withColumn("text", F.col("text").cast("string")))
-    return judged.where(~rules.base_failed() & found.verdict().isNull()).select(*docs.columns)
+    # other names while the statistics stand beside them, so no column clashes
+    names = {c: "text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
+    judged = rules.text_stats(docs.select(*((F.col("text").cast("string") if c == "text" else F.col(f"`{c}`")).alias(n) for c, n in names.items())))
+    return judged.where(~rules.base_failed() & found.verdict().isNull()).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group that shares four fifths of its five-word shingles."""
-    rows = with_row_id(docs)
-    found = chosenpath.ChosenPath(spark, k=5, threshold=0.8).run(rows, given=True)
-    gone = Scratch(spark, "gone").save(found.where(~F.col("first")).select("rid"))
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "rid", "left_anti").select(*docs.columns)
+    key = free_name(docs, "rid")
+    rows = with_row_id(docs, key)
+    found = chosenpath.ChosenPath(spark, k=5, threshold=0.8).run(rows.select(F.col(key).alias("rid"), "doc_id", "text"), given=True)
+    gone = Scratch(spark, "gone").save(found.where(~F.col("first")).select(F.col("rid").alias(key)))
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; no document goes."""
     forest = secrets.train(secrets.labelled(spark))
-    clean = secrets.redact(with_row_id(docs), forest, "rid", path=F.col("source"))
+    key = free_name(docs, "rid")
+    clean = secrets.redact(with_row_id(docs, key), forest, key, path=F.col("source"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 

@@ -225,10 +225,9 @@ def scan(docs: DataFrame, forest: Forest, keep: list[str], text: str = "text", p
 
 def redact(docs: DataFrame, forest: Forest, key: str, text: str = "text", path: Column | None = None, mark: str = "[SECRET]", at_least: float = 0.5) -> DataFrame:
     """``docs`` with every secret replaced by the mark. ``key`` must name each row. Only rows that hold a secret are joined with their findings."""
-    found = scan(docs, forest, [key], text, path, at_least).where("secret").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", F.length("value").alias("size")))).alias("_found"))
-    t, hits = F.col(text), F.col("_found")
+    found = Scratch(docs.sparkSession, "secrets").save(scan(docs, forest, [key], text, path, at_least).where("secret").groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", F.length("value").alias("size")))).alias("_found")))
+    t, hits = docs[text], found["_found"]
     ends = F.concat(F.array(F.lit(0)), F.transform(hits, lambda x: x["start"] + x["size"]))
     parts = F.transform(F.concat(F.transform(hits, lambda x: x["start"]), F.array(F.length(t))), lambda start, i: F.substr(t, F.get(ends, i) + 1, start - F.get(ends, i)))
-    found = Scratch(docs.sparkSession, "secrets").save(found)
-    joined = docs.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, key, "left")
-    return joined.withColumn(text, F.when(hits.isNull(), t).otherwise(F.array_join(parts, mark))).drop("_found")
+    joined = docs.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, docs[key] == found["_key"], "left")
+    return joined.select(*(F.when(hits.isNull(), t).otherwise(F.array_join(parts, mark)).alias(c) if c == text else docs[c] for c in docs.columns))
