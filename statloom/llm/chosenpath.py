@@ -228,14 +228,16 @@ def _offer(threshold: float, full: bool, most: int):
             for s, e in zip(starts[~small], ends[~small], strict=True):
                 group = _Group({k: v[s:e] for k, v in c.items()}, threshold, least)
                 # if full, a part of a large node begins with all the sets outside its main component
-                more = not full and c["size"][s] > SMALL
+                parted = not full and c["size"][s] > SMALL
+                more, touched = parted, np.full(e - s, parted)
                 for i, hit in group.candidates(int(c["other"][s])):
+                    touched[i] = touched[hit] = True
                     a.append(np.full(min(most, len(hit)), group.rid[i])), b.append(group.rid[hit[:most]])
                     more |= len(hit) > most
                     if len(a) >= 5000:
                         yield offered(a, b)
-                if more:
-                    yield pa.record_batch({"kind": pa.array(np.ones(e - s, np.int8)), "a": pa.array(c["node"][s:e]), "b": pa.array(c["rid"][s:e])})
+                if more:  # sets like no other of the node are done with
+                    yield pa.record_batch({"kind": pa.array(np.ones(int(touched.sum()), np.int8)), "a": pa.array(c["node"][s:e][touched]), "b": pa.array(c["rid"][s:e][touched])})
             if a:
                 yield offered(a, b)
 
