@@ -38,6 +38,8 @@ TINY = 8
 MOST = 2
 #: Partners of a verification team, which gets its leader's set once.
 CHUNK = 64
+#: Shingles that are compared with a set at a time.
+SHINGLES = 200_000
 #: Rows of a side that is broadcast at most (24 bytes each).
 BROADCAST_ROWS = 500_000
 #: Bytes of a hashed shingle that are kept for verification.
@@ -267,24 +269,22 @@ def _exact(threshold: float):
             for s, e in zip(starts, np.r_[starts[1:], len(c["node"])], strict=True):
                 group = _Group({k: v[s:e] for k, v in c.items()}, threshold, _least_agreement(threshold))
                 group.label = group.label.copy()
-                sizes = np.array([len(m) // KEPT for m in c["members"][s:e]])
-                ends = np.cumsum(sizes)
-                ids = np.unique(_unpacked(b"".join(c["members"][s:e])), return_inverse=True)[1].astype(np.int32)
-                flag = np.zeros(len(ids) + 1, bool)
+                raw = c["members"][s:e]
+                sizes = np.array([len(m) // KEPT for m in raw])
                 for i, hit in group.candidates(int(c["other"][s])):
-                    own = ids[ends[i] - sizes[i] : ends[i]]
-                    flag[own] = True
-                    for j in np.array_split(hit, -(-len(hit) // 256)):  # best first
+                    own = _unpacked(raw[i])
+                    for part in slices(sizes[hit].tolist(), SHINGLES):  # best first
+                        j = hit[part]
                         j = j[group.label[j] != group.label[i]]
                         if not len(j):
                             continue
-                        flat = np.concatenate([ids[ends[x] - sizes[x] : ends[x]] for x in j])
-                        both = np.add.reduceat(flag[flat].astype(np.int64), np.cumsum(sizes[j]) - sizes[j])
+                        flat = _unpacked(b"".join(raw[j]))
+                        same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                        both = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes[j]) - sizes[j])
                         for y in j[100 * both >= hundred * (sizes[j] + sizes[i] - both)]:
                             if group.label[y] != group.label[i]:
                                 a.append(group.rid[i]), b.append(group.rid[y])
                                 group.label[group.label == group.label[y]] = group.label[i]
-                    flag[own] = False
             if a:
                 yield pa.record_batch({"u": pa.array(a, pa.int64()), "v": pa.array(b, pa.int64())})
 
@@ -361,6 +361,11 @@ class ChosenPath:
         self.spark, self.k, self.threshold = spark, k, threshold
         self.scratch = Scratch(spark, "near")
 
+    def only(self, table: DataFrame, rids: DataFrame) -> DataFrame:
+        """The table's rows of some sets, so that what follows shuffles no others. Their numbers are broadcast up to a size, beyond it joined."""
+        own = rids.select("rid").distinct()
+        return table.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, "rid", "left_semi")
+
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets reach the threshold. The partners of ``a`` are dealt out in teams of about CHUNK, and its set goes to each team once."""
         count = pairs.groupBy("a").agg(F.count("*").alias("partners"))
@@ -383,8 +388,7 @@ class ChosenPath:
             return nodes.withColumn("label", F.col("rid")).withColumn("size", F.count("*").over(w)).where("size > 1").withColumn("other", F.col("size")).sortWithinPartitions("node")
         mixed = nodes.groupBy("node", "label").agg(F.count("*").alias("of")).groupBy("node").agg(F.sum("of").alias("size"), F.max_by("label", F.struct("of", "label")).alias("main"), F.max("of").alias("most"), F.count("*").alias("labels")).where("labels > 1")
         found = nodes.join(mixed, "node").withColumn("other", F.col("size") - F.col("most"))
-        found = found.withColumn("last", F.col("label") == F.col("main")).drop("main", "most", "labels")
-        return found.repartition("node").sortWithinPartitions("node", "last", "rid")
+        return found.withColumn("last", F.col("label") == F.col("main")).drop("main", "most", "labels")
 
     def run(self, docs: DataFrame, given: bool = False) -> DataFrame:
         """``docs``: (doc_id long, text string), other columns are ignored but a unique long ``rid`` that is ``given``. Returns rid, doc_id, n_shingles, component_id (smallest doc_id reachable) and first (one row of each component).
@@ -398,7 +402,7 @@ class ChosenPath:
         sets = scratch.save(rows.mapInArrow(_summary(self.k), _SUMMARY))
         light = sets.select("rid", "doc_id", "n", "digest")
         classes = scratch.save(light.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("digest", F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("least")))
-        reps = sets.join(classes.select("rid"), "rid", "left_semi")
+        reps = self.only(sets, classes)
         paths = reps.select("rid", "n", *PLANES, "tokens").mapInArrow(_paths, _NODE)
         links = labels = None
         tested = None
@@ -406,12 +410,17 @@ class ChosenPath:
         while True:
             found = self.sized(nodes)
             large = (F.col("size") > SMALL) & ((F.col("other") > SMALL) | F.lit(not full))
-            branch = scratch.save(found.where(large).select("node", "rid", "n", *PLANES).join(reps.select("rid", "tokens"), "rid").mapInArrow(_branch, _EARLIER)) if full else None
+            branch = None
+            if full:
+                found = scratch.save(found)
+                parted = found.where(large).select("node", "rid", "n", *PLANES)
+                branch = scratch.save(parted.join(self.only(reps, parted).select("rid", "tokens"), "rid").mapInArrow(_branch, _EARLIER))
+                found = found.repartition("node").sortWithinPartitions("node", "last", "rid")
             if branch is not None and not branch.isEmpty():  # sets may have parted below an earlier node, which then doesn't count
                 found = found.withColumn("earlier", F.lit(b""))
             if most > 8 * MOST:
                 again = None
-                rows = found.where(~large).join(sets.select("rid", "members"), "rid")
+                rows = found.where(~large).join(self.only(sets, found).select("rid", "members"), "rid")
                 new = scratch.save(rows.repartition("node").sortWithinPartitions("node", "last", "rid").mapInArrow(_exact(self.threshold), "u long, v long"))
             else:
                 offers = scratch.save((found.where(~large) if full else found).mapInArrow(_offer(self.threshold, full, most), _OFFER))
@@ -425,7 +434,7 @@ class ChosenPath:
                 labels = components(links, scratch)
             todo = branch
             if again is not None:
-                todo = again.join(reps.select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier, _EARLIER)
+                todo = again.join(self.only(reps, again).select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier, _EARLIER)
                 todo = todo if branch is None else todo.union(branch)
             if labels is not None:
                 todo = todo.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
