@@ -1,7 +1,7 @@
 """The fourteen residual, influence and collinearity diagnostics.
 
-Tests that need a row order take ``order_by``, a unique column, since a DataFrame has none of its own. Those tests number the rows
-by one global window: they are sequential by nature; the window carries only the few columns the test reads.
+Tests that need a row order take ``order_by``, a unique column, since a DataFrame has none of its own. Rows are numbered over
+range partitions, so no task sees all of them.
 Each test gives a dictionary (``frame`` makes it a row); influence measures give columns on the input.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.errors import ComputationFailed, InsufficientData, InvalidInput, SingularMatrix
@@ -21,6 +21,7 @@ from statloom.functions import special
 from statloom.operators.linear import LinearFit, linear, ols
 from statloom.plans import solve
 from statloom.plans.moments import moments, need, number
+from statloom.plans.ordered import names, number_rows
 
 ALPHA = 0.05
 
@@ -61,27 +62,19 @@ def rss_of(df: DataFrame, target: Column, regressors: list[Column]) -> tuple[flo
     """RSS, TSS and n of the target on an intercept and the regressors. Collinear regressors count once."""
     own = {f"x{i}": c for i, c in enumerate(regressors)} | {"t": target}
     m = moments(df, own)
-    names = [f"x{i}" for i in range(len(regressors))]
+    own_names = [f"x{i}" for i in range(len(regressors))]
     kept = [0]
-    for i, c in enumerate(names):  # forward, leaving out what earlier regressors determine
-        tried = [names[j - 1] for j in kept if j] + [c]
+    for i, c in enumerate(own_names):  # forward, leaving out what earlier regressors determine
+        tried = [own_names[j - 1] for j in kept if j] + [c]
         if not solve.near_singular(m, tried):
             kept.append(i + 1)
-    s = solve.intercept_solution(m, names, "t", kept)
+    s = solve.intercept_solution(m, own_names, "t", kept)
     if s.exact_rss:
         return s.rss, s.tss, int(m.n)
     e = target - linear(regressors, s.b)
     return float(df.agg(F.sum(e * e)).first()[0]), s.tss, int(m.n)
 
 
-def numbered(df: DataFrame, order_by: str, columns: dict[str, Column]) -> DataFrame:
-    """The columns with ``t`` from 1 in order; fails where the order is not unique. One window over the few columns named."""
-    out = df.select(F.col(order_by).alias("_o"), *(c.alias(k) for k, c in columns.items()))
-    if out.groupBy("_o").count().where("count > 1").limit(1).count():
-        raise InvalidInput(f"{order_by} does not order the rows uniquely")
-    return out.withColumn("t", F.row_number().over(Window.orderBy("_o")))
-
-
 # ---- linearity
 
 
@@ -97,72 +90,92 @@ def rainbow(df: DataFrame, y: str, x: Sequence[str], order_by: str, fraction: fl
     """Fit of the central block against that of all rows, in the original order. A fraction that is not between 0 and 1 counts as a half."""
     fraction = fraction if 0 < fraction < 1 else 0.5
     own = _columns(y, x, columns)
-    rows = numbered(df, order_by, own)
+    rows = number_rows(df, order_by, own).rows
     rss, _, n = rss_of(rows, F.col(y), [F.col(c) for c in x])
     p = len(x) + 1
     need(n, p + 2)
     first, m = rainbow_block(n, fraction, method)
     if m <= p:
         raise InsufficientData(p + 1, m)
-    inner, _, m = rss_of(rows.where((F.col("t") >= first) & (F.col("t") < first + m)), F.col(y), [F.col(c) for c in x])
+    inner, _, m = rss_of(rows.where((F.col("_t") >= first) & (F.col("_t") < first + m)), F.col(y), [F.col(c) for c in x])
     f = max(rss - inner, 0.0) / (n - m) / (inner / (m - p))
     return _result(f"Rainbow ({method})", f, special.f_p_value(f, n - m, m - p), "linear fit is adequate", "the relation is not linear")
 
 
-def recursive_residuals(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Standardised one-step prediction errors in order, by updates of the inverse."""
+def recursive_residuals(y: np.ndarray, x: np.ndarray, xtx: np.ndarray | None = None, xty: np.ndarray | None = None, before: int = 0) -> np.ndarray:
+    """Standardised one-step prediction errors in order, by updates of the inverse, after ``before`` rows of the given products. NaN until the rows so far determine a fit."""
     n, p = x.shape
-    start = p
-    while start < n and np.linalg.matrix_rank(x[:start]) < p:
-        start += 1
-    inverse = np.linalg.inv(x[:start].T @ x[:start])
-    b = inverse @ x[:start].T @ y[:start]
-    out = np.empty(n - start)
-    for i in range(start, n):
+    a = np.zeros((p, p)) if xtx is None else xtx.copy()
+    c = np.zeros(p) if xty is None else xty.copy()
+    inverse = b = None
+    out = np.full(n, np.nan)
+    for i in range(n):
+        if inverse is None and before + i >= p:
+            d = np.sqrt(np.diag(a))
+            if (d > 0).all() and np.linalg.eigvalsh(a / np.outer(d, d))[0] > 1e-12:
+                inverse = np.linalg.inv(a / np.outer(d, d)) / np.outer(d, d)
+                b = inverse @ c
+        if inverse is None:
+            a += np.outer(x[i], x[i])
+            c += x[i] * y[i]
+            continue
         g = inverse @ x[i]
         scale = 1 + x[i] @ g
         error = y[i] - x[i] @ b
-        out[i - start] = error / math.sqrt(scale)
+        out[i] = error / math.sqrt(scale)
         b = b + g * (error / scale)
         inverse -= np.outer(g, g) / scale
     return out
 
 
 def harvey_collier(df: DataFrame, y: str, x: Sequence[str], order_by: str, method: str = "R", columns: dict[str, Column] | None = None) -> dict:
-    """t test of the recursive residuals' mean. With one predictor the residuals are window sums; with more, one ordered Arrow group. ``Python`` leaves out the first residuals below three terms and keeps the sign."""
+    """t test of the recursive residuals' mean. ``Python`` leaves out the first residuals below three terms and keeps the sign.
+
+    A residual needs only the products of the rows before it. With one predictor those are running sums; with more, each
+    range partition starts from the products of the earlier ones and updates its own.
+    """
     own = _columns(y, x, columns)
-    rows = numbered(df, order_by, own)
-    p = len(x) + 1
-    if len(x) == 1:
-        shift = rows.agg(F.avg(x[0]), F.avg(y)).first()
-        u, v = F.col(x[0]) - F.lit(float(shift[0])), F.col(y) - F.lit(float(shift[1]))
-        before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-        s = rows.select("t", u.alias("u"), v.alias("v"))
-        s = s.select("t", "u", "v", *(F.sum(c).over(before).alias(k) for k, c in (("sx", F.col("u")), ("sy", F.col("v")), ("sxx", F.col("u") * F.col("u")), ("sxy", F.col("u") * F.col("v")))))
-        m = (F.col("t") - 1).cast("double")
+    k, p = len(x), len(x) + 1
+    shift = df.agg(*(F.avg(own[c]) for c in x), F.avg(own[y])).first()
+    about = {f"u{i}": own[c] - F.lit(float(v or 0.0)) for i, (c, v) in enumerate(zip([*x, y], shift, strict=True))}  # residuals keep their values
+    rows = number_rows(df, order_by, about)
+    need(rows.n, p + 2)
+    if k == 1:
+        u, v = F.col("u0"), F.col("u1")
+        s = rows.running({"sx": u, "sy": v, "sxx": u * u, "sxy": u * v})
+        m = (F.col("_t") - 1).cast("double")
         dx = F.col("sxx") - F.col("sx") * F.col("sx") / m
-        slope = (F.col("sxy") - F.col("sx") * F.col("sy") / m) / dx
-        mid = F.col("u") - F.col("sx") / m
-        w = (F.col("v") - F.col("sy") / m - slope * mid) / F.sqrt(1 + 1 / m + mid * mid / dx)
-        r = s.where((F.col("t") > 2) & (dx > 1e-12)).select("t", w.alias("w"))
+        mid = u - F.col("sx") / m
+        s = s.where("_t > 2").where(dx > 1e-12)
+        r = s.select("_t", ((v - F.col("sy") / m - (F.col("sxy") - F.col("sx") * F.col("sy") / m) / dx * mid) / F.sqrt(1 + 1 / m + mid * mid / dx)).alias("w"))
     else:
-        schema = "t long, w double"
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("t")
-            design = np.column_stack([np.ones(len(part)), part[list(x)].to_numpy(float)])
-            found = recursive_residuals(part[y].to_numpy(float), design)
-            return pd.DataFrame({"t": part["t"].to_numpy()[len(part) - len(found) :], "w": found})
-
-        r = rows.groupBy(F.lit(1)).applyInPandas(run, schema)
+        terms = [F.lit(1.0), *(F.col(f"u{i}") for i in range(k))]
+        sums = {f"a{i}_{j}": terms[i] * terms[j] for i in range(p) for j in range(i, p)} | {f"c{i}": terms[i] * F.col(f"u{k}") for i in range(p)}
+        parts = {r["_p"]: r for r in rows.rows.groupBy("_p").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()}
+        a, c, starts = np.zeros((p, p)), np.zeros(p), {}
+        for part in sorted(parts, key=lambda q: rows.starts[q]):
+            starts[part] = (a.copy(), c.copy(), rows.starts[part])
+            for i in range(p):
+                c[i] += parts[part][f"c{i}"]
+                for j in range(i, p):
+                    a[i, j] += parts[part][f"a{i}_{j}"]
+                    a[j, i] = a[i, j]
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("_t")
+            design = np.column_stack([np.ones(len(frame)), frame[[f"u{i}" for i in range(k)]].to_numpy(float)])
+            w = recursive_residuals(frame[f"u{k}"].to_numpy(float), design, *starts[int(frame["_p"].iloc[0])])
+            return pd.DataFrame({"_t": frame["_t"], "w": w})[~np.isnan(w)]
+
+        r = rows.rows.groupBy("_p").applyInPandas(run, "_t long, w double")
     if method != "R":
-        r = r.where(F.col("t") > p + max(0, 3 - p))
-    n = rows.count()
-    need(n, p + 2)
+        r = r.where(F.col("_t") > p + max(0, 3 - p))
     row = r.agg(F.sum("w").alias("s"), F.stddev_samp("w").alias("sd"), F.count("*").alias("m")).first()
+    if not row["sd"]:
+        raise ComputationFailed("the recursive residuals have no variance")
     scaled = row["s"] / row["sd"] / math.sqrt(row["m"])
     statistic = abs(scaled) if method == "R" else scaled
-    return _result(f"Harvey-Collier ({method})", statistic, special.two_tailed_p_value(statistic, n - p - 1), "linear fit is adequate", "the relation is not linear")
+    return _result(f"Harvey-Collier ({method})", statistic, special.two_tailed_p_value(statistic, rows.n - p - 1), "linear fit is adequate", "the relation is not linear")
 
 
 def reset(df: DataFrame, y: str, x: Sequence[str], powers: Sequence[int] = (2, 3), kind: str = "fitted", columns: dict[str, Column] | None = None) -> dict:
@@ -315,11 +328,11 @@ def anderson_darling(df: DataFrame, y: str, x: Sequence[str], columns: dict[str,
     need(n, 8)
     if not sd > 0:
         raise ComputationFailed("the values have no variance")
-    z = ((F.col("e") - F.lit(float(mid))) / F.lit(float(sd))).alias("z")
-    i = F.row_number().over(Window.orderBy("z"))
+    z = (F.col("e") - F.lit(float(mid))) / F.lit(float(sd))
     # the i-th value's lower tail has weight 2i - 1, and its upper tail that of the mirrored place
     low, high = (F.log(F.greatest(special.normal_cdf_col(c), F.lit(1e-300))) for c in (F.col("z"), -F.col("z")))
-    total = rows.select(z).withColumn("i", i).agg(F.sum((2 * F.col("i") - 1) * low + (2 * (n - F.col("i")) + 1) * high)).first()[0]
+    ranked = number_rows(rows, z, {"z": z}, unique=False).rows
+    total = ranked.agg(F.sum((2 * F.col("_t") - 1) * low + (2 * (n - F.col("_t")) + 1) * high)).first()[0]
     a = -n - total / n
     return _result("Anderson-Darling", a, anderson_darling_p(a, n), "the residuals are normal", "the residuals are not normal", n=int(n))
 
@@ -329,8 +342,8 @@ def anderson_darling(df: DataFrame, y: str, x: Sequence[str], columns: dict[str,
 
 def durbin_watson(df: DataFrame, y: str, x: Sequence[str], order_by: str, columns: dict[str, Column] | None = None) -> dict:
     rows, _ = residuals(df, y, x, columns, keep=[order_by])
-    e = numbered(rows, order_by, {"e": F.col("e")}).withColumn("before", F.lag("e").over(Window.orderBy("t")))
-    top, bottom = e.agg(F.sum(F.pow(F.col("e") - F.col("before"), 2)), F.sum(F.col("e") * F.col("e"))).first()
+    e = number_rows(rows, order_by, {"e": F.col("e")}).lagged("e", 1)
+    top, bottom = e.agg(F.sum(F.pow(F.col("e") - F.col("l1"), 2)), F.sum(F.col("e") * F.col("e"))).first()
     if bottom < 1e-10:
         raise ComputationFailed("the residuals are all 0")
     dw = top / bottom
@@ -344,9 +357,8 @@ def breusch_godfrey(df: DataFrame, y: str, x: Sequence[str], order_by: str, orde
         return _result("Breusch-Godfrey", 0.0, 1.0, "no autocorrelation", "", order=0)
     rows, fit = residuals(df, y, x, columns, keep=[order_by])
     k = len(x)
-    e = numbered(rows, order_by, {f"c{i}": F.col(f"c{i}") for i in range(k)} | {"e": F.col("e")})
-    w = Window.orderBy("t")
-    e = e.select("*", *(F.coalesce(F.lag("e", j).over(w), F.lit(0.0)).alias(f"l{j}") for j in range(1, order + 1)))
+    e = number_rows(rows, order_by, names([f"c{i}" for i in range(k)] + ["e"])).lagged("e", order)
+    e = e.fillna(0.0, [f"l{j}" for j in range(1, order + 1)])
     regressors = [F.col(f"c{i}") for i in range(k)] + [F.col(f"l{j}") for j in range(1, order + 1)]
     rss, tss, n = rss_of(e, F.col("e"), regressors)
     r2 = 1 - rss / tss
@@ -417,6 +429,6 @@ def dfbetas(df: DataFrame, y: str, x: Sequence[str], columns: dict[str, Column]
 
 
 def influential(rows: DataFrame, measure: Column, threshold: float, order_by: str) -> DataFrame:
-    """One row: the numbers (from 1, in order) of the rows whose measure exceeds the threshold in size."""
-    own = rows.select(F.col(order_by).alias("_o"), measure.alias("_m")).withColumn("i", F.row_number().over(Window.orderBy("_o")))
-    return own.where(F.abs("_m") > threshold).agg(F.sort_array(F.collect_list("i")).alias("rows"))
+    """The numbers (from 1, in order) of the rows whose measure exceeds the threshold in size, a row each."""
+    own = number_rows(rows, order_by, {"m": measure}).rows
+    return own.where(F.abs("m") > threshold).select(F.col("_t").alias("position"))

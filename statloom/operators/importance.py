@@ -14,6 +14,7 @@ from statloom.operators.linear import LinearFit, PolynomialFit
 from statloom.operators.penalized import PenalizedFit
 from statloom.plans import solve
 from statloom.plans.moments import moments, number
+from statloom.plans.ordered import number_rows
 
 
 def standardized_coefficients(df: DataFrame, coefficients: Sequence[float], x: Sequence[str], y_std: float = 1.0, columns: dict[str, Column] | None = None) -> DataFrame:
@@ -73,24 +74,32 @@ class Lcg:
 def permutation_importance(fit: LinearFit | PenalizedFit, order_by: str, permutations: int = 10, seed: int = 42, refit: bool | None = None, alpha: float = 0.05) -> DataFrame:
     """variable, importance (mean loss of R squared), std_error and the normal interval.
 
-    A permuted column changes only its products with the others, so each permutation needs sums alone. Columns are
-    permuted by the order of seeded hashes: row i gets the value of the row that ranks i-th, joined on the rank. All
-    permutations of a variable come from one pass. Least squares is refitted, penalised fits predict.
+    A permuted column changes only its products with the others, so each permutation needs sums alone. Rows are numbered once;
+    row t gets the value of row a t + b modulo n, a random a without common factors with n, so a permutation is one join on
+    the number and no sort. Least squares is refitted, penalised fits predict.
     """
     refit = isinstance(fit, LinearFit) if refit is None else refit
     x, k = fit.x, len(fit.x)
     names = [f"v{i}" for i in range(k + 1)]
-    rows = fit.df.select(F.col(order_by).alias("_o"), *(fit.columns[c].alias(n) for c, n in zip([*x, fit.y], names, strict=True)))
-    rows = rows.withColumn("_t", F.row_number().over(Window.orderBy("_o")))
+    numbered = number_rows(fit.df, order_by, {n: fit.columns[c] for c, n in zip([*x, fit.y], names, strict=True)})
+    rows, count = numbered.rows, numbered.n
+    rng = Lcg(seed)
+
+    def shift() -> tuple[int, int]:
+        while math.gcd(a := 1 + int(rng.next() * max(count - 1, 1)), count) > 1:
+            pass
+        return a, int(rng.next() * count)
+
     base = moments(rows, {n: F.col(n) for n in names})
     coefficients = np.array([0.0 if math.isnan(b) else b for b in fit.coefficients[1:]])
     baseline = 1 - fit.rss / fit.tss
     out = []
     for j, name in enumerate(x):
         losses = []
-        for r in range(permutations):
-            ranked = rows.select(F.row_number().over(Window.orderBy(F.xxhash64("_t", F.lit(seed * 7919 + j * 104729 + r)), "_t")).alias("_t"), F.col(f"v{j}").alias("_p"))
-            sums = rows.join(ranked, "_t").agg(*(F.covar_pop("_p", n).alias(n) for n in names)).first()
+        for _ in range(permutations):
+            a, b = shift()
+            moved = rows.select((F.pmod((F.col("_t") - 1).cast("decimal(38,0)") * a + b, F.lit(count).cast("decimal(38,0)")) + 1).cast("long").alias("_t"), F.col(f"v{j}").alias("_v"))
+            sums = rows.join(moved, "_t").agg(*(F.covar_pop("_v", n).alias(n) for n in names)).first()
             m = base.pick(names)
             m.s = m.s.copy()
             for i, n in enumerate(names):

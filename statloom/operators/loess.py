@@ -118,9 +118,11 @@ def _spread(df: DataFrame, columns: list[Column], keep: list[str], x: np.ndarray
     own = own.repartition(tasks) if tasks > 1 else own
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keep).schema)
 
+    width = len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = np.column_stack([b.column(f"q{i}").to_numpy(zero_copy_only=False) for i in range(len(columns))]).astype(float)
+            q = np.column_stack([b.column(f"q{i}").to_numpy(zero_copy_only=False) for i in range(width)]).astype(float)
             q = (q - low) / wide if len(low) else q
             yhat = fit_points(q, x, y, k, degree, robust)
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(yhat)], names=[*keep, "yhat"])

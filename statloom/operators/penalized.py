@@ -210,7 +210,7 @@ def ridge(df: DataFrame, y: str, x: Sequence[str], lam: float = 1.0, standardize
 
 def lambda_max(c: np.ndarray, alpha: float, factor: np.ndarray | None = None) -> float:
     factor = np.ones(len(c)) if factor is None else factor
-    return max((abs(v) / f for v, f in zip(c, factor, strict=True) if f > 0), default=0.0) / max(alpha, 1e-3)
+    return max((float(abs(v) / f) for v, f in zip(c, factor, strict=True) if f > 0), default=0.0) / max(alpha, 1e-3)
 
 
 def lambda_path(top: float, n: int, p: int, count: int = 100, ratio: float | None = None) -> list[float]:

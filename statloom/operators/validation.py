@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.errors import InsufficientData, InvalidInput
@@ -14,6 +14,7 @@ from statloom.operators import penalized
 from statloom.operators.linear import linear
 from statloom.plans import solve
 from statloom.plans.moments import Moments, from_row, moment_columns, number
+from statloom.plans.ordered import blocks, number_rows
 
 
 def fisher_yates(n: int, seed: int = 42) -> list[int]:
@@ -36,9 +37,11 @@ def with_folds(df: DataFrame, order_by: str, folds: int, shuffle: bool = False,
     """A column ``fold`` from 1: contiguous blocks in order, the first ones a row longer. Shuffled: blocks of the order of a seeded hash."""
     if folds < 2:
         raise InvalidInput("two folds are needed")
-    order = Window.orderBy(F.xxhash64(F.lit(seed), order_by), order_by) if shuffle else Window.orderBy(order_by)
-    keyed = df.select(order_by).withColumn("fold", F.ntile(folds).over(order))  # the window sees the key alone
-    return df.join(keyed, order_by) if len(df.columns) > 8 else df.withColumn("fold", F.ntile(folds).over(order))
+    key = F.struct(F.xxhash64(F.lit(seed), order_by), F.col(order_by)) if shuffle else order_by
+    numbered = number_rows(df, key, {c: F.col(f"`{c}`") for c in df.columns})
+    if numbered.n < folds:
+        raise InsufficientData(folds, numbered.n)
+    return numbered.rows.select(*(F.col(f"`{c}`") for c in df.columns), blocks(F.col("_t"), numbered.n, folds).alias("fold"))
 
 
 def metrics(actual: Column, predicted: Column) -> dict[str, Column]:

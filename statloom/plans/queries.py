@@ -353,7 +353,7 @@ def dx_14_pr_13_dffits(spark, sf_dir):
 @query(_EVENTS2 + ", i AS (SELECT row_number() OVER (ORDER BY t) AS i, e*e*h/(3*(rss/df)*(1-h)*(1-h)) AS d, n FROM r) SELECT i AS position FROM i WHERE d > 4/n")
 def pr_13_influential_positions(spark, sf_dir):
     rows, info = X.cooks_distance(events(spark, sf_dir), "y", ["x1", "x2"])
-    return X.influential(rows, F.col("cooks_d"), info["threshold_4_over_n"], "t").select(F.explode("rows").cast("long").alias("position"))
+    return X.influential(rows, F.col("cooks_d"), info["threshold_4_over_n"], "t")
 
 
 def _rainbow_sql(first: str, count: str) -> str:
