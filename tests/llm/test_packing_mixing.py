@@ -42,7 +42,8 @@ def test_pieces_and_sequences(spark, docs, small_docs, tokenizer):
             at += r["length"]
         assert at <= 1024
         total += at
-    assert len(sequences) <= -(-total // 1024) + 3
+    # no two pieces beyond a half share a sequence, so this is a bound from below
+    assert len(sequences) <= max(-(-total // 1024), sum(r["length"] > 512 for r in rows)) + 3
 
 
 def test_capacities():
