@@ -29,7 +29,7 @@ TEMPER = 0.1
 HOST_PAGES, SUFFIX_PAGES, DECLARED_PAGES = 5.0, 20.0, 2.0
 BROADCAST_ROWS = 100_000
 
-_HIDDEN = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_HIDDEN = re.compile(rb"<!--.*?-->|<(script|style|nav|aside|footer)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 DECLARED = r"(?is)<html\b[^>]*?\slang\s*=\s*[\x22']?([A-Za-z]{2,3})"
 

@@ -31,43 +31,41 @@ def labellers() -> dict[str, Column]:
         return name, F.when(bad, 0).when(good, 1).otherwise(-1)
 
     words, length, symbols, lines, repeats = feature("n_words"), feature("word_length"), feature("symbols"), feature("dup_lines"), feature("repeats")
+    shares = F.coalesce(F.try_divide("n_symbols", "word_chars"), F.lit(0.0))
     upper, marks, other, per_line = feature("upper"), feature("marks"), feature("other_marks"), feature("line_words")
     return dict([
-        vote("size", words < 2, words >= 60), vote("word_length", (length < 2.5) | (length > 12), (length >= 4) & (length <= 6.5)), vote("symbols", symbols > 0.08, (symbols < 0.01) & (words >= 20)), vote("dup_lines", (lines > 0.4) & (words >= 60), (lines < 0.1) & (words >= 100)),
-        vote("repeats", repeats > 0.45, (repeats < 0.05) & (words >= 20)), vote("upper", upper > 0.4, upper < 0.08), vote("marks", marks > 0.25, marks < 0.02), vote("punctuation", ((other == 0) & (words >= 30)) | (other > 1.5), (other >= 0.05) & (other <= 0.3)),
+        vote("size", words < 2, words >= 60), vote("word_length", (length < 2.5) | (length > 12), (length >= 4) & (length <= 6.5)), vote("symbols", symbols > 0.08, (symbols < 0.01) & (words >= 20)), vote("symbol_share", shares > 0.02, shares < 0.002), vote("many_symbols", symbols > 0.5, symbols == 0), vote("dup_lines", (lines > 0.4) & (words >= 60), (lines < 0.1) & (words >= 100)),
+        vote("repeats", repeats > 0.45, (repeats < 0.05) & (words >= 20)), vote("most_repeats", (repeats > 0.6) & (words >= 30), repeats < 0.3), vote("upper", upper > 0.4, upper < 0.08), vote("marks", marks > 0.25, marks < 0.02), vote("punctuation", ((other == 0) & (words >= 30)) | (other > 1.5), (other >= 0.05) & (other <= 0.3)),
         vote("lines", per_line < 2, (per_line >= 6) & (per_line <= 150)),
     ])
 
 
 @dataclass
 class LabelModel:
-    """share: of good documents; p[labeller, class, vote + 1]."""
+    """share: of good documents; p[labeller, class, vote]: of the labeller's votes on documents of the class. No vote is no evidence."""
 
     share: float
     p: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         at = np.arange(votes.shape[1])
-        logs = [np.log(s) + np.log(self.p[at, c, votes + 1]).sum(axis=1) for c, s in ((0, 1 - self.share), (1, self.share))]
+        logs = [np.log(s) + np.where(votes >= 0, np.log(self.p[at, c, np.maximum(votes, 0)]), 0.0).sum(axis=1) for c, s in ((0, 1 - self.share), (1, self.share))]
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
     @property
     def accuracy(self) -> np.ndarray:
         """Of each labeller's votes, how many are right."""
-        prior = np.array([1 - self.share, self.share])
-        right = prior[0] * self.p[:, 0, 1] + prior[1] * self.p[:, 1, 2]
-        return right / np.maximum((prior[None, :, None] * self.p[:, :, 1:]).sum(axis=(1, 2)), 1e-12)
+        return (1 - self.share) * self.p[:, 0, 0] + self.share * self.p[:, 1, 1]
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over distinct vote patterns and how often each occurs, from the majority vote. Counts of half a document keep all chances above 0."""
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
+    """Expectation-maximisation over distinct vote patterns and how often each occurs, from the shares of good votes. Half a document in each count keeps all chances above 0."""
     good, bad = (votes == 1).sum(axis=1), (votes == 0).sum(axis=1)
-    q = np.clip((good + 1.0) / (good + bad + 2.0), 0.05, 0.95) ** 2
-    q = np.where(bad > 0, q * 0.5, q)
-    model = LabelModel(0.5, np.full((votes.shape[1], 2, 3), 1 / 3))
+    q = (good + 0.5) / (good + 2.0 * bad + 1.0)  # a labeller that finds a fault counts twice at first
+    model = LabelModel(0.5, np.full((votes.shape[1], 2, 2), 0.5))
     for _ in range(rounds):
         weight = np.stack([(1 - q) * counts, q * counts])
-        p = np.stack([np.stack([[weight[c][votes[:, j] == v].sum() + 0.5 for v in (-1, 0, 1)] for c in (0, 1)]) for j in range(votes.shape[1])])
+        p = np.stack([np.stack([[weight[c][votes[:, j] == v].sum() + 0.5 for v in (0, 1)] for c in (0, 1)]) for j in range(votes.shape[1])])
         share = (weight[1].sum() + 1) / (counts.sum() + 2)
         model = LabelModel(float(share), p / p.sum(axis=2, keepdims=True))
         new = model.posterior(votes)
