@@ -5,7 +5,7 @@ best score and its number of pieces. Ties go to the longest piece that ends ther
 only by a better score. A character without a piece of its own may be an unknown piece, ten below the least score, that counts as its UTF-8 bytes
 if the vocabulary has all byte pieces; else a run of unknown characters counts as one.
 
-Words are cut before every space, as that library's Metaspace does, and around line ends, which no longer piece contains.
+Words are cut before every space, as that library's Metaspace does, and around line ends if no longer piece contains one.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ class Counter(dict):
         self.automaton.make_automaton()
         known = {p for p, _ in pieces}
         self.by_bytes = all(f"<0x{i:02X}>" in known for i in range(256))
-        self.cut = not any("\n" in p and len(p) > 1 for p in known)
+        # a line end that is unknown may join unknown neighbours into one piece
+        self.cut = ("\n" in known or self.by_bytes) and not any("\n" in p and len(p) > 1 for p in known)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
