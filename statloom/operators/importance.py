@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.errors import InvalidInput
+from statloom.errors import InsufficientData, InvalidInput
+from statloom.functions.special import normal_inverse_cdf
 from statloom.operators.linear import LinearFit, PolynomialFit
+from statloom.operators.loess import LoessFit, fit_points, neighborhood_size, normalize
 from statloom.operators.penalized import PenalizedFit
 from statloom.plans import solve
 from statloom.plans.moments import moments, number
@@ -114,13 +116,38 @@ def permutation_importance(fit: LinearFit | PenalizedFit, order_by: str, permuta
             losses.append(baseline - float(r2))
         mean = float(np.mean(losses))
         se = float(np.std(losses, ddof=1) / math.sqrt(len(losses))) if len(losses) > 1 else 0.0
-        from statloom.functions.special import normal_inverse_cdf
-
         z = normal_inverse_cdf(1 - alpha / 2)
         out.append((name, mean, se, mean - z * se, mean + z * se))
     return fit.df.sparkSession.createDataFrame(out, "variable string, importance double, std_error double, low double, high double")
 
 
+def permutation_importance_loess(spark: SparkSession, fit: LoessFit, names: Sequence[str], permutations: int = 10, seed: int = 42) -> DataFrame:
+    """variable, importance and std_error of a local fit, refitted for each permutation; a fit that fails loses all of R squared. The permutations are spread over the tasks, each with the bounded training points."""
+    x, y, span, degree = fit.train_x, fit.train_y, fit.span, fit.degree
+    k = neighborhood_size(span, len(y), degree)
+    tss = float(((y - y.mean()) ** 2).sum())
+    baseline = 1 - float(((y - fit.fitted) ** 2).sum()) / tss
+
+    def losses(frames):
+        for frame in frames:
+            out = []
+            for j, r in zip(frame["j"], frame["r"], strict=True):
+                own = x.copy()
+                own[:, j] = own[np.random.default_rng([seed, int(j), int(r)]).permutation(len(own)), j]
+                own = own if own.shape[1] == 1 else normalize(own)[0]
+                try:
+                    loss = baseline - (1 - float(((y - fit_points(own, own, y, k, degree)) ** 2).sum()) / tss)
+                except (InsufficientData, np.linalg.LinAlgError):
+                    loss = baseline
+                out.append(loss)
+            yield frame.assign(loss=out)
+
+    tasks = spark.createDataFrame([(j, r) for j in range(x.shape[1]) for r in range(permutations)], "j int, r int").repartition(min(64, x.shape[1] * permutations))
+    found = tasks.mapInPandas(losses, "j int, r int, loss double").groupBy("j").agg(F.avg("loss").alias("importance"), (F.coalesce(F.stddev_samp("loss"), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("std_error"))
+    variable = F.element_at(F.array(*(F.lit(c) for c in names)), F.col("j") + 1)
+    return found.select(variable.alias("variable"), "importance", "std_error")
+
+
 def vif_ranking(df: DataFrame, x: Sequence[str], columns: dict[str, Column] | None = None) -> DataFrame:
     """variable, vif and score (1 / vif, 0 for an infinite one), the least collinear first."""
     own = {c: (columns or {}).get(c, number(c)) for c in x}

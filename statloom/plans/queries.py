@@ -578,6 +578,13 @@ def fi_7_permutation_ridge(spark, sf_dir):
     return rounded(I.permutation_importance(P.ridge(events(spark, sf_dir), "y", ["x1", "x2"], 1.0), "t", 5), variable=None, importance=6, std_error=6)
 
 
+@query()
+def fi_8_permutation_loess(spark, sf_dir):
+    s = suppliers(spark, sf_dir)
+    _, fit = LO.loess(s, "y", ["x"], "t", 0.5, 1)
+    return rounded(I.permutation_importance_loess(spark, fit, ["x"], 6), variable=None, importance=6, std_error=6)
+
+
 @query("WITH src AS (SELECT l_extendedprice AS x1, l_extendedprice*(1-l_discount) AS x2 FROM lineitem), c AS (SELECT corr(x1,x2) a FROM src) SELECT 'x1' AS variable, round(1/(1-a*a), 5) AS vif, round(1-a*a, 8) AS score FROM c UNION ALL SELECT 'x2', round(1/(1-a*a), 5), round(1-a*a, 8) FROM c")
 def fi_10_13_vif_ranking(spark, sf_dir):
     found = I.vif_ranking(lines(spark, sf_dir), ["x1", "x2"], {"x2": F.col("x1") * (1 - F.col("x2"))})
