@@ -20,11 +20,12 @@ KEY_NAMES = "password|passwd|pwd|passphrase|secret|token|api_key|apikey|api-key|
 #: A key block, the value of a named key, or a long run with a digit.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{1,20000}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|(?<=(?i:{KEY_NAMES})[\x22']?[ ]?[:=][ ]?[\x22']?)[^\s\x22',;]{{8,512}}+"
+    # what stands before is first looked at for its sign alone, since nearly every place fails there
+    rf"|(?<=[:=][ ]?[\x22']?)(?<=(?i:{KEY_NAMES})[\x22']?[ ]?[:=][ ]?[\x22']?)[^\s\x22',;]{{8,512}}+"
     r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_=.-]{16,512}+"
 )
 #: A text without any of these holds no candidate; cheaper than the full pattern.
-HINT = rf"(?i:{KEY_NAMES})|PRIVATE KEY|[A-Za-z0-9+/_=.-]{{16}}"
+HINT = "[0-9=:]|PRIVATE KEY"
 AROUND = 48
 #: Words that make up names and placeholders but not secrets. Fixed values.
 WORDS = (
