@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from statloom.errors import InvalidInput
 from statloom.operators.linear import INTERCEPT, interval_columns, linear, ols, polynomial, quadratic
 from statloom.plans import solve
-from statloom.plans.moments import Moments, moments, number
+from statloom.plans.moments import Moments, moments, number, weighted_moments
 
 
 def soft_threshold(z: float, gamma: float) -> float:
@@ -47,14 +47,18 @@ class Scaled:
     tss: float
 
 
-def scale(m: Moments, x: Sequence[str], y: str, standardize: bool = True) -> Scaled:
+def scale(m: Moments, x: Sequence[str], y: str, standardize: bool = True, intercept: bool = True) -> Scaled:
+    """Without an intercept nothing is centred, predictors are still scaled by their deviation, and the response by its root mean square."""
     p = m.pick([*x, y])
     k = len(x)
     cov = p.s / m.n
     sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
     x_scale = np.where(sd[:k] > 0, sd[:k], 1.0) if standardize else np.ones(k)
-    y_scale = float(sd[k]) or 1.0
-    return Scaled(cov[:k, :k] / np.outer(x_scale, x_scale), cov[:k, k] / (x_scale * y_scale), x_scale, y_scale, p.mean[:k], float(p.mean[k]), m.n, float(p.s[k, k]))
+    if not intercept:
+        cov = cov + np.outer(p.mean, p.mean)
+    y_scale = math.sqrt(max(float(cov[k, k]), 0.0)) or 1.0
+    means = (p.mean[:k], float(p.mean[k])) if intercept else (np.zeros(k), 0.0)
+    return Scaled(cov[:k, :k] / np.outer(x_scale, x_scale), cov[:k, k] / (x_scale * y_scale), x_scale, y_scale, *means, m.n, float(p.s[k, k]))
 
 
 def coordinate_descent(q: np.ndarray, c: np.ndarray, lam: float, alpha: float, factor: np.ndarray | None = None, low: np.ndarray | None = None, high: np.ndarray | None = None, start: np.ndarray | None = None, max_iter: int = 100_000, tol: float = 1e-9) -> tuple[np.ndarray, int, bool]:
@@ -172,14 +176,15 @@ def _finish(df: DataFrame, y: str, x: list[str], own: dict[str, Column], m: Mome
     return PenalizedFit(df, y, x, own, lam, alpha, intercept, slopes, int(m.rows), s.tss, float(rss), float(mae), iterations, converged, m, kind)
 
 
-def elastic_net(df: DataFrame, y: str, x: Sequence[str], lam: float = 1.0, alpha: float = 1.0, standardize: bool = True, penalty_factor: dict[str, float] | None = None, bounds: dict[str, tuple[float, float]] | None = None, columns: dict[str, Column] | None = None, max_iter: int = 100_000, tol: float = 1e-9, kind: str = "ElasticNet", m: Moments | None = None) -> PenalizedFit:
-    """Minimises RSS / 2n + lambda (alpha L1 + (1 - alpha) L2 / 2) in glmnet's scaling. Penalty factors and bounds go by predictor name."""
+def elastic_net(df: DataFrame, y: str, x: Sequence[str], lam: float = 1.0, alpha: float = 1.0, standardize: bool = True, penalty_factor: dict[str, float] | None = None, bounds: dict[str, tuple[float, float]] | None = None, columns: dict[str, Column] | None = None, max_iter: int = 100_000, tol: float = 1e-9, kind: str = "ElasticNet", m: Moments | None = None, weight: str | None = None, intercept: bool = True) -> PenalizedFit:
+    """Minimises RSS / 2n + lambda (alpha L1 + (1 - alpha) L2 / 2) in glmnet's scaling. Penalty factors and bounds go by predictor name; weights count relative to their sum."""
     if lam < 0 or not 0 <= alpha <= 1:
         raise InvalidInput("lambda must not be negative and alpha must be from 0 to 1")
     x = list(x)
     own = {c: (columns or {}).get(c, number(c)) for c in [*x, y]}
-    m = moments(df, own) if m is None else m
-    s = scale(m, x, y, standardize)
+    if m is None:
+        m = moments(df, own) if weight is None else weighted_moments(df, own, (columns or {}).get(weight, number(weight)))
+    s = scale(m, x, y, standardize, intercept)
     factor = np.array([(penalty_factor or {}).get(c, 1.0) for c in x])
     low = np.array([(bounds or {}).get(c, (-np.inf, np.inf))[0] for c in x]) * s.x_scale / s.y_scale
     high = np.array([(bounds or {}).get(c, (-np.inf, np.inf))[1] for c in x]) * s.x_scale / s.y_scale

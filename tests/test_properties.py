@@ -128,6 +128,17 @@ def test_penalised_optimality(noise):
     assert P.ridge(noise.withColumn("a", F.lit(1.0)), "y", NAMES, 1.0).slopes[0] == 0
 
 
+def test_penalised_weights_and_origin(noise):
+    """Without a penalty: weighted least squares, and least squares through the origin."""
+    x, y = arrays(noise)
+    w = np.array([r["w"] for r in noise.orderBy("i").collect()])
+    assert P.lasso(noise, "y", NAMES, 0.0, weight="w", tol=1e-12).coefficients == pytest.approx(L.wls(noise, "y", NAMES, "w").coefficients, rel=1e-4)
+    assert w.sum() > 0
+    origin = np.linalg.lstsq(x, y, rcond=None)[0]
+    found = P.lasso(noise, "y", NAMES, 0.0, intercept=False, tol=1e-12).coefficients
+    assert found[0] == 0 and found[1:] == pytest.approx(list(origin), rel=1e-3, abs=1e-5)
+
+
 def test_cross_validation(noise):
     x, y = arrays(noise)
     folds, terms = V.cross_validate(noise, "y", NAMES, "i", 5)
