@@ -68,7 +68,7 @@ def _summary(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = texts(b.column("text"))
-            for part in slices([len(d) for d in docs], 4_000_000):
+            for part in slices([len(d) for d in docs], 2_000_000):
                 sets = [shingle_hashes(hash_words(d.lower().split()), k) for d in docs[part]]
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 tokens = np.zeros((len(sets), POSITIONS), np.uint32)

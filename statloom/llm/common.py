@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2000
 #: Words kept in a worker's hash cache before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class Scratch:

@@ -27,7 +27,7 @@ from statloom.llm.common import Scratch, slices, texts, with_row_id
 #: Pieces of a block, on average.
 BLOCK = 100_000
 #: Chunks that a worker's cache holds before it starts anew, about 200 bytes each.
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 350_000
 #: Characters of text that are encoded together.
 SHARE = 1_500_000
 

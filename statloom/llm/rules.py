@@ -62,7 +62,7 @@ def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs = texts(b.column("text"))
-        for part in slices([len(d) for d in docs], 3_000_000):
+        for part in slices([len(d) for d in docs], 2_000_000):
             own = docs[part]
             words = [d.split() for d in own]
             sizes = np.fromiter(map(len, words), np.int64, len(own))

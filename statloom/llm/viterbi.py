@@ -23,7 +23,7 @@ from statloom.llm.common import texts
 
 SPACE = "▁"
 PENALTY = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
