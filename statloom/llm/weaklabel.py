@@ -7,6 +7,7 @@ scorer on hashed words and word shapes, which scores every document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,15 +76,18 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelM
     return model
 
 
+#: Letters of either case, digits and bytes beyond ASCII (mostly letters) as one byte each.
+_SHAPE = bytes(65 if 65 <= i < 91 else 97 if 97 <= i < 123 or i > 127 else 48 if 48 <= i < 58 else i for i in range(256))
+_RUN = re.compile(rb"(.)\1{2,}", re.S)
+
+
 class _Buckets(dict):
-    """Word -> buckets of the word and of its shape, packed."""
+    """Word -> buckets of the word and of its shape, packed. A shape has runs of one kind cut to two."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text)
-        shape = "~" + "".join(c for i, c in enumerate(shape) if i < 2 or c != shape[i - 1] or c != shape[i - 2])
+        shape = b"~" + _RUN.sub(rb"\1\1", word.translate(_SHAPE))
         value = self[word] = (xxhash.xxh3_64_intdigest(word) % BUCKETS) << 32 | xxhash.xxh3_64_intdigest(shape) % BUCKETS
         return value
 
@@ -139,10 +143,9 @@ def _score(w: np.ndarray, b: float):
             docs = texts(batch.column("text"))
             for part in slices([len(t) for t in docs], 2_000_000):
                 for i in range(part.start, part.stop):
-                    count = np.bincount(hashed(docs[i].split()), minlength=1)
-                    own = np.flatnonzero(count)
-                    c = count[own].astype(float)
-                    out[i] = (w[own] * c).sum() / np.sqrt(max(1.0, (c**2).sum())) + b
+                    at = hashed(docs[i].split())
+                    c = np.bincount(at, minlength=1)[at]  # for each word, how often its bucket occurs
+                    out[i] = w[at].sum() / np.sqrt(max(1.0, float(c.sum()))) + b
             yield batch.drop_columns(["text"]).append_column("score", pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40)))))
 
     return run
