@@ -201,7 +201,7 @@ def labelled(spark: SparkSession, rows: int = 6000) -> DataFrame:
 
 
 def train(findings: DataFrame, most: int = 20_000) -> Forest:
-    """``findings``: (id, text, path, label 0 or 1). Learns from the longest candidate of each, ``most`` at most, chosen by hash."""
+    """``findings``: (id, text, path, label 0 or 1). Learns from the longest candidate of each, ``most`` at most, chosen by hash. A finding without a label or a candidate teaches nothing; there must be one that does."""
     f = features()
     findings = Scratch(findings.sparkSession, "findings").save(findings)
     own = candidates(findings, "text", ["id", "label"], F.col("path"))
@@ -225,7 +225,10 @@ def scan(docs: DataFrame, forest: Forest, keep: list[str], text: str = "text", p
 
 
 def redact(docs: DataFrame, forest: Forest, key: str, text: str = "text", path: Column | None = None, mark: str = "[SECRET]", at_least: float = 0.5) -> DataFrame:
-    """``docs`` with every secret replaced by the mark. ``key`` must name each row. Only rows that hold a secret are joined with their findings."""
+    """``docs`` with every secret replaced by the mark. ``key`` must name each row. Only rows that hold a secret are joined with their findings.
+
+    Null and empty texts, texts without a secret and all other columns stay as they are, whatever the columns' names. Repeated rows: each is redacted. Empty table: no row.
+    """
     found = Scratch(docs.sparkSession, "secrets").save(scan(docs, forest, [key], text, path, at_least).where("secret").groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", F.length("value").alias("size")))).alias("_found")))
     t, hits = docs[text], found["_found"]
     ends = F.concat(F.array(F.lit(0)), F.transform(hits, lambda x: x["start"] + x["size"]))
