@@ -20,15 +20,15 @@ from statloom.llm.common import Scratch, hash_words, rolling, slices, texts
 
 WINDOW = 20
 #: Characters of text that a task hashes together.
-SHARE = 3_000_000
+SHARE = 4_000_000
 #: Entries that a partition sorts, on average.
-RANGE = 1_000_000
+RANGE = 1_500_000
 #: Bytes of intervals that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 #: A null doc_id sorts after every other.
 NO_ID = (1 << 63) - 1
 
-_BLOB = "target int, kind byte, ids binary, tags binary, counts binary, places binary, wide boolean, hashes binary"
+_BLOB = "target int, kind byte, first long, ids binary, tags binary, counts binary, places binary, hashes binary"
 
 
 def _tag(text: bytes) -> int:
@@ -36,33 +36,44 @@ def _tag(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
+def _packed(values: np.ndarray, small: type, large: type) -> bytes:
+    """The values after a byte that tells their type; the small one if it holds them."""
+    fits = not len(values) or (values.min() >= 0 and values.max() <= np.iinfo(small).max)
+    return (b"\0" + values.astype(small).tobytes()) if fits else (b"\1" + values.astype(large).tobytes())
+
+
+def _unpacked(raw: bytes, small: type, large: type) -> np.ndarray:
+    return np.frombuffer(raw, large if raw[0] else small, offset=1).astype(np.int64)
+
+
 def _blob(target: int, kind: int, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, tags: np.ndarray, hashes: np.ndarray | None) -> dict:
     """Entries in order of (doc, place): each document once, its places as differences."""
     new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     step = np.diff(place, prepend=0)
     step[new] = place[new]
-    wide = bool(step.max(initial=0) > 65535)
+    own, own_tags = ids[doc[new]], tags[doc[new]]
     return {
-        "target": target, "kind": kind, "ids": ids[doc[new]].tobytes(), "tags": tags[doc[new]].tobytes(), "counts": np.diff(np.r_[new, len(doc)]).astype(np.uint32).tobytes(),
-        "places": step.astype(np.uint32 if wide else np.uint16).tobytes(), "wide": wide, "hashes": b"" if hashes is None else hashes.tobytes(),
+        "target": target, "kind": kind, "first": int(own[0]), "ids": _packed(np.diff(own), np.uint32, np.int64), "tags": own_tags.tobytes() if own_tags.any() else b"",
+        "counts": _packed(np.diff(np.r_[new, len(doc)]), np.uint8, np.uint32), "places": _packed(step, np.uint16, np.uint32), "hashes": b"" if hashes is None else hashes.tobytes(),
     }
 
 
 def _entries(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids and tags of the blob's documents, and each entry's document and place."""
-    ids, tags, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["tags"], np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.int64)
-    step = np.frombuffer(r["places"], np.uint32 if r["wide"] else np.uint16).astype(np.int64)
+    ids = np.cumsum(np.r_[np.int64(r["first"]), _unpacked(r["ids"], np.uint32, np.int64)])
+    tags = np.frombuffer(r["tags"], np.int64) if r["tags"] else np.zeros(len(ids), np.int64)
+    counts, step = _unpacked(r["counts"], np.uint8, np.uint32), _unpacked(r["places"], np.uint16, np.uint32)
     sums = np.cumsum(step)
     first = np.cumsum(counts) - counts
     return ids, tags, np.repeat(np.arange(len(ids)), counts), sums - np.repeat(sums[first] - step[first], counts)
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    types = {"target": pa.int32(), "kind": pa.int8(), "ids": pa.binary(), "tags": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "wide": pa.bool_(), "hashes": pa.binary()}
+    types = {"target": pa.int32(), "kind": pa.int8(), "first": pa.int64(), "ids": pa.binary(), "tags": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "hashes": pa.binary()}
     return pa.record_batch({k: pa.array([r[k] for r in rows], t) for k, t in types.items()})
 
 
-def _windows(width: int, ranges: int):
+def _windows(width: int, ranges: int, tagged: bool):
     """Batches of (doc_id, text) to blobs: kind 0, the first of each hash for its range; kind 1, known repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +86,7 @@ def _windows(width: int, ranges: int):
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
                 own = [own[i] for i in order]
-                tags = np.fromiter(map(_tag, own), np.int64, len(own))
+                tags = np.fromiter(map(_tag, own), np.int64, len(own)) if tagged else np.zeros(len(own), np.int64)
                 words = [d.split() for d in own]
                 sizes = np.fromiter(map(len, words), np.int64, len(words))
                 joined = np.concatenate([hash_words(w) for w in words]) if len(words) else np.zeros(0, np.uint64)
@@ -120,7 +131,7 @@ def _repeats(shares: int):
             return None
         share = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shares)
         of = share[doc]
-        order = np.lexsort((place, doc, of))
+        order = np.lexsort((place, doc, ids[doc], of))
         doc, place, of = doc[order], place[order], of[order]
         cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)]
         return _rows([_blob(int(of[s]), 1, doc[s:e], place[s:e], ids, tags, None) for s, e in zip(cuts[:-1], cuts[1:], strict=True)])
@@ -210,6 +221,11 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.append_column("tag", pa.array([_tag(t) for t in texts(b.column("text"))], pa.int64()))
 
 
+def _repeated_ids(rows: DataFrame) -> bool:
+    """Whether some rows share a doc_id; only then their texts have to tell them apart."""
+    return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
 def _removed(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,11 +264,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WINDOW, ke
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(1, round(letters / 6 / RANGE))
-    hashed = rows.mapInArrow(_windows(width, ranges), _BLOB)
+    several = _repeated_ids(rows)
+    hashed = rows.mapInArrow(_windows(width, ranges, several), _BLOB)
     repeats = hashed.repartitionById(ranges, F.col("target")).sortWithinPartitions("target").mapInArrow(_repeats(ranges), _BLOB)
     merged = repeats.repartitionById(ranges, F.col("target")).sortWithinPartitions("target").mapInArrow(_merged(width), "id long, tag long, begins array<long>, ends array<long>")
     intervals = scratch.save(merged)
-    tagged = rows.mapInArrow(_tagged, "doc_id long, text string, tag long")
+    tagged = rows.mapInArrow(_tagged, "doc_id long, text string, tag long") if several else rows.withColumn("tag", F.lit(0).cast("long"))
     if (intervals.agg(F.sum(80 + 16 * F.size("begins"))).first()[0] or 0) <= BROADCAST_BYTES:
         intervals = F.broadcast(intervals)
     found = tagged.join(intervals, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id")) & (tagged["tag"] == intervals["tag"]), "left")
