@@ -12,6 +12,7 @@ pieces of a bounded expected size, packed independently; each costs at most one
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from statloom.llm.common import Scratch, slices, texts, with_row_id
 #: Pieces of a block, on average.
 BLOCK = 100_000
 #: Chunks that a worker's cache holds before it starts anew, about 200 bytes each.
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 450_000
 #: Characters of text that are encoded together.
 SHARE = 1_500_000
 
@@ -99,7 +100,7 @@ class _Chunks:
     def encode(self, docs: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text."""
         parts = [None if any(m in d for m in _MARKS) and _OTHER_SPACE.search(d) else _CHUNK.findall(d) for d in docs]
-        new = set().union(*(set(p).difference(self.known) for p in parts if p))
+        new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(p for p in parts if p)))
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known.clear()
             new = set().union(*(p for p in parts if p))
