@@ -99,7 +99,7 @@ class _Chunks:
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text."""
-        parts = [None if any(m in d for m in _MARKS) and _OTHER_SPACE.search(d) else _CHUNK.findall(d) for d in docs]
+        parts = [None if any(m in d for m in (_MARKS[:4] if d.isascii() else _MARKS)) and _OTHER_SPACE.search(d) else _CHUNK.findall(d) for d in docs]
         new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(p for p in parts if p)))
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known.clear()
