@@ -194,7 +194,7 @@ def agreement(*planes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return POSITIONS - (np.bitwise_count((a0 ^ b0) | (a1 ^ b1)).astype(np.int64) + np.bitwise_count((a2 ^ b2) | (a3 ^ b3)))
 
 
-def _offer(threshold: float, full: bool, most: int):
+def _offer(threshold: float, full: bool, most: int, limit: int):
     """Batches sorted by node and, if full, with the most frequent component last; gives pairs (kind 0), up to ``most`` for a set, and the sets of nodes that have more (1)."""
     least = _least_agreement(threshold)
 
@@ -218,7 +218,7 @@ def _offer(threshold: float, full: bool, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("node", "rid", "n", *PLANES, "label", "size", "other", *(["earlier"] if full else []))
-        for c in whole_groups(batches, names):
+        for c in whole_groups(batches, names, limit):
             a, b = [], []
             starts = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
             ends = np.r_[starts[1:], len(c["node"])]
@@ -230,7 +230,7 @@ def _offer(threshold: float, full: bool, most: int):
             for s, e in zip(starts[~small], ends[~small], strict=True):
                 group = _Group({k: v[s:e] for k, v in c.items()}, threshold, least)
                 # if full, a part of a large node begins with all the sets outside its main component
-                parted = not full and c["size"][s] > SMALL
+                parted = not full and c["size"][s] > limit
                 more, touched = parted, np.full(e - s, parted)
                 for i, hit in group.candidates(int(c["other"][s])):
                     touched[i] = touched[hit] = True
@@ -258,12 +258,12 @@ def _least_agreement(threshold: float) -> int:
     return int(POSITIONS * (p - 3.5 * (p * (1 - p) / POSITIONS) ** 0.5))
 
 
-def _exact(threshold: float):
+def _exact(threshold: float, limit: int):
     """Batches of full nodes with members, the most frequent component last; gives confirmed links, at most one less than a node's components."""
     hundred = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in whole_groups(batches, ("node", "rid", "n", *PLANES, "label", "size", "other", "earlier", "members")):
+        for c in whole_groups(batches, ("node", "rid", "n", *PLANES, "label", "size", "other", "earlier", "members"), limit):
             starts = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
             a, b = [], []
             for s, e in zip(starts, np.r_[starts[1:], len(c["node"])], strict=True):
@@ -291,25 +291,25 @@ def _exact(threshold: float):
     return run
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of whole nodes. A node beyond SMALL comes in parts of that many rows, each after the node's first ``other`` rows."""
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], limit: int) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of whole nodes. A node beyond the limit comes in parts of that many rows, each after the node's first ``other`` rows."""
     held: dict[str, np.ndarray] = {}
     head: dict[str, np.ndarray] = {}
     for b in batches:
         new = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
         new |= {k: new[k].view(np.uint64) for k in PLANES}  # bitwise_count takes absolute values of signed numbers
         held = {k: np.concatenate([held[k], new[k]]) for k in names} if held else new
-        while (total := len(held["node"])) > 2 * SMALL:
+        while (total := len(held["node"])) > 2 * limit:
             last = held["node"][-1]
             cut = int(np.searchsorted(held["node"] == last, True)) if held["node"][0] != last else 0
             if cut:
                 yield _with_head(head, {k: v[:cut] for k, v in held.items()})
                 head = {}
             else:  # one node fills it all
-                cut = SMALL
+                cut = limit
                 part = {k: v[:cut] for k, v in held.items()}
                 yield _with_head(head, part)
-                if not head and 0 < part["other"][0] <= SMALL:
+                if not head and 0 < part["other"][0] <= limit:
                     head = {k: v[: part["other"][0]] for k, v in part.items()}
             held = {k: v[cut:] for k, v in held.items()}
             if total == cut:
@@ -357,8 +357,8 @@ def _verify(threshold: float):
 class ChosenPath:
     """Groups documents whose k-word shingle sets have a Jaccard similarity of at least ``threshold``."""
 
-    def __init__(self, spark: SparkSession, k: int = 5, threshold: float = 0.8):
-        self.spark, self.k, self.threshold = spark, k, threshold
+    def __init__(self, spark: SparkSession, k: int = 5, threshold: float = 0.8, small: int = SMALL):
+        self.spark, self.k, self.threshold, self.small = spark, k, threshold, small
         self.scratch = Scratch(spark, "near")
 
     def only(self, table: DataFrame, rids: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ class ChosenPath:
         nodes, full, most = paths, False, MOST
         while True:
             found = self.sized(nodes)
-            large = (F.col("size") > SMALL) & ((F.col("other") > SMALL) | F.lit(not full))
+            large = (F.col("size") > self.small) & ((F.col("other") > self.small) | F.lit(not full))
             branch = None
             if full:
                 found = scratch.save(found)
@@ -421,9 +421,9 @@ class ChosenPath:
             if most > 8 * MOST:
                 again = None
                 rows = found.where(~large).join(self.only(sets, found).select("rid", "members"), "rid")
-                new = scratch.save(rows.repartition("node").sortWithinPartitions("node", "last", "rid").mapInArrow(_exact(self.threshold), "u long, v long"))
+                new = scratch.save(rows.repartition("node").sortWithinPartitions("node", "last", "rid").mapInArrow(_exact(self.threshold, self.small), "u long, v long"))
             else:
-                offers = scratch.save((found.where(~large) if full else found).mapInArrow(_offer(self.threshold, full, most), _OFFER))
+                offers = scratch.save((found.where(~large) if full else found).mapInArrow(_offer(self.threshold, full, most, self.small), _OFFER))
                 pairs = offers.where("kind = 0").select("a", "b").distinct()
                 pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
                 tested = pairs

@@ -40,23 +40,24 @@ def test_near_copies(spark, docs, small_docs, k):
     assert found == brute(small_docs, k)
 
 
-def test_large_group_with_recursion(spark, monkeypatch):
-    """Nodes beyond a small limit recurse and are confirmed in place; the groups are the same. Workers start after the limits are set in the module."""
+@pytest.mark.parametrize("small, most", [(12, 2), (8192, 1)])
+def test_large_group_with_recursion(spark, monkeypatch, small, most):
+    """Nodes beyond a small limit are parted, branch and are confirmed in place; the groups stay the same."""
     import random
 
     from statloom.llm import chosenpath
 
     rng = random.Random(3)
-    base = [f"w{i}" for i in range(120)]
+    base, other = [f"w{i}" for i in range(120)], [f"w{i}" for i in range(0, 240, 2)]
     rows = []
     for i in range(300):
-        w = list(base)
+        w = list(base if i % 3 else other)
         for _ in range(rng.randrange(0, 14)):
             w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(chosenpath, "MOST", 1)
+    monkeypatch.setattr(chosenpath, "MOST", most)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ChosenPath(spark, k=2).run(df).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ChosenPath(spark, k=2, small=small).run(df).collect()}
     assert found == brute(rows, 2)
 
 
