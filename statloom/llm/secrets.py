@@ -19,10 +19,11 @@ from statloom.llm.common import Scratch
 KEY_NAMES = "password|passwd|pwd|passphrase|secret|token|api_key|apikey|api-key|access_key|auth_key|private_key|credential|client_secret"
 #: A key block, the value of a named key, or a long run with a digit.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{1,20000}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    # a key block holds anything but the marks of a key block: headers of an encrypted one have dashes
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]++|-(?!----(?:BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----))++-----END [A-Z ]{0,20}PRIVATE KEY-----"
     # what stands before is first looked at for its sign alone, since nearly every place fails there
-    rf"|(?<=[:=][ ]?[\x22']?)(?<=(?i:{KEY_NAMES})[\x22']?[ ]?[:=][ ]?[\x22']?)[^\s\x22',;]{{8,512}}+"
-    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_=.-]{16,512}+"
+    rf"|(?<=[:=][ ]?[\x22']?)(?<=(?i:{KEY_NAMES})[\x22']?[ ]?[:=][ ]?[\x22']?)[^\s\x22',;]{{8,}}+"
+    r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_=.-]{16,}+"
 )
 #: A text without any of these holds no candidate; cheaper than the full pattern.
 HINT = "[0-9=:]|PRIVATE KEY"

@@ -139,3 +139,22 @@ def test_findings_and_redaction(spark, forest):
     by = {r["doc_id"]: r["text"] for r in clean}
     assert len(clean) == len(texts) and by[1] == "the and of [SECRET] here and there" and by[7] == "[SECRET] [SECRET]" and by[4] is None and by[5] == "" and by[6] == texts[5][1]
     assert secrets.scan(df.select("doc_id", "text").limit(0), forest, ["doc_id"]).count() == 0
+
+
+def test_long_secrets_are_whole(spark, forest):
+    """Runs of any length, and key blocks with headers, are one candidate each; redaction leaves nothing of them."""
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    token, named = ("".join(rng.choice(letters + "0123456789") for _ in range(n)) for n in (900, 5000))
+    late = "".join(rng.choice(letters) for _ in range(100)) + token
+    lines = "\n".join("".join(rng.choice(letters + "0123456789+/") for _ in range(64)) for _ in range(400))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0F' * 16}\n\n{lines}\n-----END RSA PRIVATE KEY-----"
+    values = [token, named, late, pem, pem]
+    texts = [f"Authorization: Bearer {token} and", f'secret = "{named}" and', f"Authorization: Bearer {late} and", f"key\n{pem}\nand", f"-----BEGIN PRIVATE KEY-----\ncut off\n{pem}\nand"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    found = {}
+    for r in secrets.candidates(df, "text", ["rid"]).collect():
+        found.setdefault(r["rid"], []).append((r["start"], r["value"]))
+    assert found == {i: [(t.index(v), v)] for i, (t, v) in enumerate(zip(texts, values, strict=True))}
+    clean = {r["rid"]: r["text"] for r in secrets.redact(df, forest, "rid").collect()}
+    assert clean == {i: t.replace(v, "[SECRET]") for i, (t, v) in enumerate(zip(texts, values, strict=True))}
