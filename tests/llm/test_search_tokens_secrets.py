@@ -102,6 +102,39 @@ def test_counts_odd_rows(spark, odd_docs, no_docs):
     assert sorted(r["n_tokens"] for r in viterbi.count_tokens(odd_docs, path).collect())[0] == 0
 
 
+def merged(text: str, scores: dict[str, float]) -> int:
+    """Pieces after merging the best pair, the leftmost of equals, until none is left; a character without a piece counts as its bytes."""
+    own = list("▁" + text.replace(" ", "▁")) if text else []
+    while True:
+        pairs = [(-scores[a + b], i) for i, (a, b) in enumerate(zip(own, own[1:], strict=False)) if a + b in scores]
+        if not pairs:
+            return sum(1 if x in scores else len(x.encode()) for x in own)
+        i = min(pairs)[1]
+        own[i : i + 2] = [own[i] + own[i + 1]]
+
+
+def test_query_counts_are_the_files_own(spark, sf_dir):
+    """op9 merges by rank, as the file is a BPE model."""
+    from statloom.llm.queries import op9_token_counts
+
+    scores = {p: s for p, s in viterbi.vocabulary(tokenizer_file("piece_bpe_32k.model")) if not p.startswith("<")}
+    counts = {r["doc_id"]: r["n_tokens"] for r in op9_token_counts(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(counts) == len(rows)
+    short = [r for r in rows if len(r["text"] or "") <= 1500]
+    assert len(short) > 20
+    assert [counts[r["doc_id"]] for r in short] == [merged(r["text"] or "", scores) for r in short]
+
+
+def test_own_counts_odd_rows(spark, odd_docs, no_docs):
+    from statloom.llm.piececounts import count_pieces
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    assert count_pieces(no_docs, path).count() == 0
+    found = [r["n_tokens"] for r in count_pieces(odd_docs, path).collect()]
+    assert len(found) == 6 and min(found) == 0
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train(secrets.labelled(spark, 3000))
