@@ -6,19 +6,22 @@ substring t differs in at most r_t of them, where the r_t + 1 add up to r + 1; p
 r_t of the query's therefore retrieves every code within r. Those codes' vectors are ranked by their exact distance.
 
 The radius is fitted on the sample, which has fewer and so farther neighbours than all rows: it holds at least ``recall`` of the
-sample's true neighbours. Each task indexes blocks of its rows and answers a bounded share of the queries at a time.
+sample's true neighbours. A query that finds fewer than k rows within it probes again with a growing radius, up to all bits, until it has k
+or all candidates: rows far from dense groups, which set the radius, may have few codes near. Each task indexes blocks of its rows and answers a bounded share of the queries at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statloom.llm.common import Scratch
+
 #: Vectors that the codes and the radius are fitted on, at most: those of the least id hashes.
 SAMPLE = 10_000
 BITS, PART = 64, 8
@@ -152,7 +155,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int =
 
     ``vectors``: (vec_id long, embedding array of numbers), other columns are ignored. A null vec_id or an unusable vector takes no part, nor does one of
     another length than the commonest (the shorter of two as common). Ties go to the smaller vec_id. Repeated rows: each is a candidate, a repeated query is asked once, and
-    no row of its id answers it. Empty table: no row.
+    no row of its id answers it. Each query gets k rows, or all candidates if there are fewer. Empty table: no row.
     """
     fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     lengths = fine.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -160,8 +163,28 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fine = fine.where(F.size("embedding") == lengths["n"])
     codes = fit(sample(fine, most), k, recall)
-    queries = fine.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    shares = max(1, -(-queries.count() // QUERIES))
+    scratch = Scratch(spark, "nearest")
+    total = fine.count()
+    short = scratch.save(fine.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own")))
+    bits, done = codes.parts * PART, None
+    while (many := short.count()) > 0:
+        best = scratch.save(_probe(fine, short, codes, k, max(1, -(-many // QUERIES))))
+        if codes.radius >= bits:  # every row was ranked
+            done = best if done is None else done.union(best)
+            break
+        have = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("have"))
+        left = short.join(have, "vec_id", "left").where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k), F.lit(total) - F.col("own"))).drop("have")
+        short = scratch.save(left)
+        best = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+        done = best if done is None else done.union(best)
+        codes = replace(codes, radius=min(bits, max(2 * codes.radius, codes.radius + PART)))
+    if done is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return done.select("query_id", "rank", "vec_id", "score")
+
+
+def _probe(fine: DataFrame, queries: DataFrame, codes: Codes, k: int, shares: int) -> DataFrame:
+    """The k nearest rows within the radius of each query, some queries at a time: query_id, vec_id, score, rank."""
     found = None
     for share in range(shares):
         asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(shares)) == share).orderBy("vec_id").collect()
@@ -170,7 +193,5 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int =
         ids, x = np.array([r["vec_id"] for r in asked]), np.array([r["embedding"] for r in asked], float)
         part = fine.mapInArrow(_search(codes, ids, x, k), "query_id long, vec_id long, score double")
         found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

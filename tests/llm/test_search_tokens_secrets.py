@@ -64,6 +64,18 @@ def test_search_odd_rows(spark):
     assert mih.nearest(spark, spark.createDataFrame([(1, [1.0] * 8, 0, "")], schema)).count() == 0
 
 
+def test_spread_queries_get_all_neighbours(spark):
+    """Dense groups set the radius; queries far from them widen it until they have k rows, or all candidates."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.normal(size=(20, 16)), 100, axis=0) + 1e-6 * rng.normal(size=(2000, 16)), 3 * rng.normal(size=(30, 16))])
+    rows = [(i + 1 if i < 2000 else 10_000 * (i - 1999), v.tolist()) for i, v in enumerate(x)]
+    found = answers(mih.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1000))
+    assert {q: len(own) for q, own in found.items()} == {i: 10 for i, _ in rows if i % 1000 == 0}
+    few = [(i, v) for i, v in rows if i % 1000 == 0][:6] + [(1000, rows[0][1])]
+    found = answers(mih.nearest(spark, spark.createDataFrame(few, "vec_id long, embedding array<double>"), 1000))
+    assert {q: len(own) for q, own in found.items()} == {i: 5 if i == 1000 else 6 for i, _ in few}
+
+
 @pytest.fixture(scope="module")
 def unigram():
     from tokenizers import Tokenizer, models, pre_tokenizers
