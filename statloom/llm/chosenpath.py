@@ -143,21 +143,26 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.append_column("earlier", pa.array([b""] * len(nodes), pa.binary()))
 
 
-def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (node, rid, n, planes, tokens) with the set's nodes that come before this one."""
-    for b in batches:
-        if b.num_rows:
-            seen = np.empty((b.num_rows, NODES), np.uint64)
-            at = 0
-            for nodes, rows in _first_nodes(_tokens(b.column("tokens"))):
-                order = np.argsort(rows, kind="stable")
-                seen[:, at : at + BRANCH**DEPTH] = nodes[order].reshape(b.num_rows, -1)
-                at += BRANCH**DEPTH
-            own = b.column("node").to_numpy().view(np.uint64)
-            same = seen == own[:, None]
-            before = np.where(same.any(axis=1), same.argmax(axis=1), 0)
-            out = _node_rows(own, b)
-            yield out.append_column("earlier", pa.array([x[:k].tobytes() for x, k in zip(seen, before, strict=True)], pa.binary()))
+def _earlier(branched: np.ndarray):
+    """Batches of (node, rid, n, planes, tokens) with the set's nodes that come before this one; 0 for a branched one, below which two sets may part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                seen = np.empty((b.num_rows, NODES), np.uint64)
+                at = 0
+                for nodes, rows in _first_nodes(_tokens(b.column("tokens"))):
+                    order = np.argsort(rows, kind="stable")
+                    seen[:, at : at + BRANCH**DEPTH] = nodes[order].reshape(b.num_rows, -1)
+                    at += BRANCH**DEPTH
+                own = b.column("node").to_numpy().view(np.uint64)
+                same = seen == own[:, None]
+                before = np.where(same.any(axis=1), same.argmax(axis=1), 0)
+                seen[np.isin(seen, branched)] = 0
+                out = _node_rows(own, b)
+                yield out.append_column("earlier", pa.array([x[:k].tobytes() for x, k in zip(seen, before, strict=True)], pa.binary()))
+
+    return run
 
 
 _NODE = "node long, rid long, n long, p0 long, p1 long, p2 long, p3 long"
@@ -182,8 +187,8 @@ class _Group:
             n = self.n[rest]
             hit = np.flatnonzero((agree >= self.least) & (np.minimum(n, self.n[i]) >= self.threshold * np.maximum(n, self.n[i]) - 1e-9) & (self.label[rest] != self.label[i]))
             if self.earlier is not None and len(hit):
-                k = self.before[i]
-                hit = hit[~(self.earlier[hit + i + 1, :k] == self.earlier[i, :k]).any(axis=1)]
+                k = np.flatnonzero(self.earlier[i, : self.before[i]])
+                hit = hit[~(self.earlier[np.ix_(hit + i + 1, k)] == self.earlier[i, k]).any(axis=1)]
             if len(hit):
                 yield i, hit[np.argsort(-agree[hit], kind="stable")] + i + 1
 
@@ -407,6 +412,7 @@ class ChosenPath:
         links = labels = None
         tested = None
         nodes, full, most = paths, False, MOST
+        branched = np.zeros(0, np.uint64)  # of more than ``small`` sets each, so few
         while True:
             found = self.sized(nodes)
             large = (F.col("size") > self.small) & ((F.col("other") > self.small) | F.lit(not full))
@@ -415,6 +421,7 @@ class ChosenPath:
                 found = scratch.save(found)
                 parted = found.where(large).select("node", "rid", "n", *PLANES)
                 branch = scratch.save(parted.join(self.only(reps, parted).select("rid", "tokens"), "rid").mapInArrow(_branch, _EARLIER))
+                branched = np.union1d(branched, np.array([r["node"] for r in parted.select("node").distinct().collect()], np.int64).view(np.uint64))
                 found = found.repartition("node").sortWithinPartitions("node", "last", "rid")
             if branch is not None and not branch.isEmpty():  # sets may have parted below an earlier node, which then doesn't count
                 found = found.withColumn("earlier", F.lit(b""))
@@ -434,7 +441,7 @@ class ChosenPath:
                 labels = components(links, scratch)
             todo = branch
             if again is not None:
-                todo = again.join(self.only(reps, again).select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier, _EARLIER)
+                todo = again.join(self.only(reps, again).select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier(branched), _EARLIER)
                 todo = todo if branch is None else todo.union(branch)
             if labels is not None:
                 todo = todo.join(labels.withColumnRenamed("node", "rid"), "rid", "left")

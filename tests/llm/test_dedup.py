@@ -61,6 +61,32 @@ def test_large_group_with_recursion(spark, monkeypatch, small, most):
     assert found == brute(rows, 2)
 
 
+def test_branched_nodes_do_not_count_as_earlier():
+    """A pair that met in a node that was branched, where it may have parted, is offered in its later nodes too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from statloom.llm import chosenpath
+
+    tokens = np.random.default_rng(1).integers(0, 1 << 32, (1, chosenpath.POSITIONS), dtype=np.uint32).repeat(2, axis=0)
+    nodes = np.concatenate([n[rows == 0] for n, rows in chosenpath._first_nodes(tokens)])
+    assert len(set(nodes.tolist())) == chosenpath.NODES
+    plane = pa.array([5, 5], pa.int64())
+
+    def links(at, branched):
+        own = pa.record_batch({"node": pa.array(nodes[[at, at]].view(np.int64)), "rid": pa.array([1, 2]), "n": pa.array([100, 100]), **dict.fromkeys(chosenpath.PLANES, plane), "tokens": pa.array([t.tobytes() for t in tokens], pa.binary())})
+        (b,) = chosenpath._earlier(branched)([own])
+        columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("rid", "n", *chosenpath.PLANES, "earlier")} | {"label": np.array([1, 2])}
+        columns |= {k: columns[k].view(np.uint64) for k in chosenpath.PLANES}
+        group = chosenpath._Group(columns, 0.8, 90)
+        return [(int(group.rid[i]), int(group.rid[j])) for i, hit in group.candidates(2) for j in hit]
+
+    none = np.zeros(0, np.uint64)
+    assert [links(at, none) for at in (0, 1, 5)] == [[(1, 2)], [], []]
+    assert [links(at, nodes[:1]) for at in (0, 1, 5)] == [[(1, 2)], [(1, 2)], []]
+    assert links(5, nodes[:5]) == [(1, 2)]
+
+
 def test_near_odd_rows(spark, odd_docs, no_docs):
     assert ChosenPath(spark).run(no_docs).count() == 0
     rows = ChosenPath(spark).run(odd_docs).collect()
