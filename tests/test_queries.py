@@ -46,3 +46,15 @@ def test_query(spark, sf_dir, duck, name):
     assert len(found) == len(wanted)
     wrong = [(a, b) for a, b in zip(found, wanted, strict=True) if not all(close(float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x, float(y) if isinstance(y, (int, float)) and not isinstance(y, bool) else y) for x, y in zip(a, b, strict=True))]
     assert not wrong, wrong[:3]
+
+
+def test_shapiro_wilk_reads_the_whole_table(spark, sf_dir, duck):
+    """Every shipping day is a value, and every line counts in its day's mean."""
+    import numpy as np
+
+    from statloom.operators.diagnostics import shapiro_wilk_sample
+
+    days = [r[0] for r in duck.execute("SELECT avg(l_extendedprice) FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY CAST(l_shipdate AS DATE)").fetchall()]
+    (found,) = QUERIES["dx_7_shapiro_wilk"](spark, sf_dir).collect()
+    w, p = shapiro_wilk_sample(np.array(days, float))
+    assert found["n"] == len(days) and found["statistic"] == pytest.approx(w, abs=2e-8) and found["p_value"] == pytest.approx(p, abs=2e-8)
