@@ -57,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequences and places, under all three capacities."""
+    """Pieces with their sequences and places. Under the default capacities only tokens bind; see the README."""
     return packing.pack(spark, docs, tokenizer_file("byte_bpe_50k.json"))
 
 
