@@ -68,11 +68,13 @@ def _by_ranks(path: str):
 class _Chunks:
     """Ids of texts, from a cache of white space and the word after it: the tokenizer never joins a word with the space that follows it, so a text's ids are those of its chunks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        # a text that holds an added token's string may have that token's id there, whatever surrounds it
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id; the byte-level alphabet has a letter for each
         for token, i in vocabulary.items():
@@ -97,9 +99,13 @@ class _Chunks:
             raw = ids.tobytes()
             self.known.update(zip(own, [raw[i:j] for i, j in zip([0, *at.tolist()], at.tolist(), strict=False)], strict=True))
 
+    def whole(self, text: bytes) -> bool:
+        """Whether a text must go to the tokenizer as it is: it has an added token or white space that chunks don't know."""
+        return any(t in text for t in self.added) or (any(m in text for m in (_MARKS[:4] if text.isascii() else _MARKS)) and _OTHER_SPACE.search(text) is not None)
+
     def encode(self, docs: list[bytes]) -> list[bytes]:
         """Little-endian ids of each text."""
-        parts = [None if any(m in d for m in (_MARKS[:4] if d.isascii() else _MARKS)) and _OTHER_SPACE.search(d) else _CHUNK.findall(d) for d in docs]
+        parts = [None if self.whole(d) else _CHUNK.findall(d) for d in docs]
         new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(p for p in parts if p)))
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known.clear()
@@ -109,15 +115,15 @@ class _Chunks:
 
 
 @functools.cache
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path)
+def _chunks(path: str, special_as_text: bool) -> _Chunks:
+    return _Chunks(path, special_as_text)
 
 
-def _pieces(path: str, end_id: int, most: int, with_ids: bool):
+def _pieces(path: str, end_id: int, most: int, with_ids: bool, special_as_text: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _chunks(path).encode
+        encode = _chunks(path, special_as_text).encode
         for b in batches:
             rows, starts, lengths, pieces, crcs, raw = [], [], [], [], [], []
 
@@ -229,16 +235,16 @@ def _pack(caps: Capacities):
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, caps: Capacities = Capacities(), end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, caps: Capacities = Capacities(), end_id: int = 2, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Pack ``docs``: (doc_id, text, ...), whole texts, into sequences. Returns a row for each piece: rid (one for each input row), doc_id, piece, start, length, ids_crc32, sequence_id, offset, and its ids on request.
 
     Null or empty text: the end id alone. Null doc_id: kept as null. Repeated rows: each is packed. Empty table: no row. Other columns, whatever their names, are ignored.
-    The text of a document longer than a sequence is cut from its end, so only its first piece may be shorter.
+    The text of a document longer than a sequence is cut from its end, so only its first piece may be shorter. Ids are those that the tokenizer's file gives without further settings: a special token's string in a text becomes that token, unless ``special_as_text``.
     """
     scratch = Scratch(spark, "pack")
     rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     schema = _PIECE + (", ids array<int>" if with_ids else "")
-    pieces = scratch.save(rows.mapInArrow(_pieces(tokenizer_path, end_id, caps.tokens, with_ids), schema))
+    pieces = scratch.save(rows.mapInArrow(_pieces(tokenizer_path, end_id, caps.tokens, with_ids, special_as_text), schema))
     blocks = max(1, round(pieces.count() / BLOCK))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("rid", "piece"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInArrow(_pack(caps), schema + ", sequence_id long, offset long")

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from statloom.llm.mixing import mix, mix_sql
+from statloom.llm.mixing import mix, mix_sql, targets
 from statloom.llm.packing import Capacities, best_fit, pack
 from statloom.llm.queries import tokenizer_file
 
@@ -13,9 +13,7 @@ from statloom.llm.queries import tokenizer_file
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
 
 
 def test_pieces_and_sequences(spark, docs, small_docs, tokenizer):
@@ -46,6 +44,20 @@ def test_pieces_and_sequences(spark, docs, small_docs, tokenizer):
     assert len(sequences) <= max(-(-total // 1024), sum(r["length"] > 512 for r in rows)) + 3
 
 
+def test_ids_are_the_files_own(spark, tokenizer):
+    """Special tokens' strings, long texts without spaces, columns named as the operator's own."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", "<|endoftext", " <|endoftext|>\n\n", "word " * 60_000, "ab1-" * 50_000, "漢字" * 20_000 + "<|endoftext|>", "\xa0 a\u2003b  c"]
+    df = spark.createDataFrame([(i, t, 7, 7, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, piece int, length long, sequence_id long, rid string")
+    for special in (False, True):
+        tokenizer.encode_special_tokens = special
+        own = {}
+        for r in sorted(pack(spark, df, path, with_ids=True, special_as_text=special).collect(), key=lambda r: r["piece"]):
+            own.setdefault(r["doc_id"], []).extend(r["ids"])
+        assert own == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    tokenizer.encode_special_tokens = False
+
+
 def test_capacities():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 600, 2000)
@@ -68,11 +80,13 @@ def test_best_fit_is_tight():
     assert sequence.max() + 1 <= 1.01 * lengths.sum() / 1024 + 1
 
 
-def test_pack_odd_rows(spark, odd_docs, no_docs):
+def test_pack_odd_rows(spark, odd_docs, no_docs, tokenizer):
     path = tokenizer_file("byte_bpe_50k.json")
     assert pack(spark, no_docs, path).count() == 0
     rows = pack(spark, odd_docs, path).collect()
-    assert len(rows) == 6 and sorted(r["length"] for r in rows)[0] == 1
+    texts = [r["text"] or "" for r in odd_docs.collect()]
+    assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == sorted((str(r["doc_id"]), len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for r, t in zip(odd_docs.collect(), texts, strict=True))
+    assert len({r["rid"] for r in rows}) == 6
 
 
 def test_mix_equals_sorting(spark, docs, small_docs):
@@ -103,6 +117,32 @@ def test_mix_targets(spark, docs):
     assert sorted(map(str, rows)) == sorted(map(str, mix(spark, docs.repartition(3)).collect()))
 
 
+def reshared(sizes: dict, weights=(5, 2, 1), share=1.5, most=2.0) -> dict:
+    """Targets step by step: share out by weight, stop sources at their limit, share the excess again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, budget = {}, list(order), share * sum(sizes.values())
+    while left:
+        total = sum(weight[s] for s in left)
+        above = [s for s in left if budget * weight[s] / total > most * sizes[s]]
+        if not above:
+            return target | {s: budget * weight[s] / total for s in left}
+        for s in above:
+            target[s] = most * sizes[s]
+            budget -= target[s]
+            left.remove(s)
+    return target
+
+
+def test_targets_are_reshared_excess(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        sizes = {f"s{i}": int(x) for i, x in enumerate(rng.choice([0, 3, 50, 1000, 40_000], 9))} | {None: int(rng.integers(1, 500))}
+        found = targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 1.5, 2.0).collect()
+        wanted = reshared(sizes)
+        assert {r["source"]: r["target"] for r in found} == pytest.approx(wanted)
+
+
 def test_mix_nested(spark, docs):
     """A larger share takes at least as much of every document."""
     small = {r["doc_id"]: r["taken"] for r in mix(spark, docs, share=0.3).collect()}
@@ -112,4 +152,18 @@ def test_mix_nested(spark, docs):
 
 def test_mix_odd_rows(spark, odd_docs, no_docs):
     assert mix(spark, no_docs).count() == 0
-    assert mix(spark, odd_docs).count() == 6
+    rows = mix(spark, odd_docs).collect()
+    sizes = {"a": 100, "b": 101, None: 50}
+    wanted = reshared(sizes)
+    assert sorted((str(r["doc_id"]), r["size"], r["source_size"]) for r in rows) == sorted([("None", 50, 50), ("None", 0, 100), ("3", 50, 100), ("3", 50, 100), ("3", 51, 101), ("1", 50, 101)])
+    assert {r["source_size"]: r["target"] for r in rows} == pytest.approx({sizes[s]: t for s, t in wanted.items()})
+    assert len({r["taken"] for r in rows if r["doc_id"] == 3 and r["size"] == 50}) == 1  # rows of one id and source go together
+
+
+def test_mix_long_text_and_clashing_columns(spark):
+    rows = [(i, "w " * (200_000 if i == 0 else 10 + i), "a" if i % 2 else "b", 5, 6, "x", 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, hash int, target string, upto int")
+    found = {r["doc_id"]: r for r in mix(spark, df).collect()}
+    assert {i: r["size"] for i, r in found.items()} == {r[0]: r[1].count("w") for r in rows}
+    kept = mix(spark, df, keep=df.columns).collect()
+    assert all(r["row"].asDict() == df.where(f"doc_id = {r['doc_id']}").first().asDict() for r in kept[:3])
