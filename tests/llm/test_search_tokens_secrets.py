@@ -76,21 +76,25 @@ def test_spread_queries_get_all_neighbours(spark):
     assert {q: len(own) for q, own in found.items()} == {i: 5 if i == 1000 else 6 for i, _ in few}
 
 
-@pytest.fixture(scope="module")
-def unigram():
-    from tokenizers import Tokenizer, models, pre_tokenizers
+def sentencepiece():
+    from sentencepiece import SentencePieceProcessor
 
-    t = Tokenizer(models.Unigram(viterbi.vocabulary(tokenizer_file("piece_bpe_32k.model")), 0, True))
-    t.pre_tokenizer = pre_tokenizers.Metaspace()
-    return t
+    return SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
 
 
-def test_counts_equal_the_tokenizer(spark, docs, small_docs, unigram):
-    found = {r["doc_id"]: r["n_tokens"] for r in viterbi.count_tokens(docs, tokenizer_file("piece_bpe_32k.model")).collect()}
-    assert found == {i: len(unigram.encode(t or "", add_special_tokens=False).ids) for i, t, _ in small_docs}
+def test_unigram_counts_equal_the_tokenizer(docs, small_docs):
+    """The vocabulary's pieces with their scores as a unigram model of the tokenizers library."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = viterbi.vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    t = Tokenizer(models.Unigram(pieces, 0, True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace()
+    c = viterbi.Counter(pieces)
+    for _, text, _ in small_docs:
+        assert c.text(text or "") == len(t.encode(text or "", add_special_tokens=False).ids)
 
 
-def test_counts_on_random_vocabularies():
+def test_unigram_counts_on_random_vocabularies():
     """Ties, unknown characters and odd spaces, against the tokenizers library."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -108,43 +112,47 @@ def test_counts_on_random_vocabularies():
             assert c.text(text) == len(t.encode(text, add_special_tokens=False).ids), (vocabulary, text)
 
 
-def test_counts_odd_rows(spark, odd_docs, no_docs):
-    path = tokenizer_file("piece_bpe_32k.model")
-    assert viterbi.count_tokens(no_docs, path).count() == 0
-    assert sorted(r["n_tokens"] for r in viterbi.count_tokens(odd_docs, path).collect())[0] == 0
-
-
-def merged(text: str, scores: dict[str, float]) -> int:
-    """Pieces after merging the best pair, the leftmost of equals, until none is left; a character without a piece counts as its bytes."""
-    own = list("▁" + text.replace(" ", "▁")) if text else []
-    while True:
-        pairs = [(-scores[a + b], i) for i, (a, b) in enumerate(zip(own, own[1:], strict=False)) if a + b in scores]
-        if not pairs:
-            return sum(1 if x in scores else len(x.encode()) for x in own)
-        i = min(pairs)[1]
-        own[i : i + 2] = [own[i] + own[i + 1]]
+def test_merge_counts_on_random_vocabularies():
+    """Vocabularies made by random merges, against merging whole texts pair by pair."""
+    rng = random.Random(6)
+    for k in range(40):
+        own = list("▁abc")
+        while len(own) < 30:
+            a, b = rng.choice(own), rng.choice(own)
+            if len(a + b) < 8 and a + b not in own and (k % 2 or "▁" not in b):
+                own.append(a + b)
+        pieces = [(p, -float(i)) for i, p in enumerate(own[4:] + own[:4])]
+        c = viterbi.MergeCounter(pieces)
+        for _ in range(60):
+            text = "".join(rng.choice("aaabbbccd  e\n") for _ in range(rng.randrange(0, 30)))
+            parts = viterbi.merged(list("▁" + text.replace(" ", "▁")), dict(pieces)) if text else []
+            known = [p in dict(pieces) for p in parts]
+            assert c.text(text) == sum(k or not (i and not known[i - 1]) for i, k in enumerate(known)), (pieces, text)
+
+
+def test_merge_counts_equal_the_library(spark, docs, small_docs):
+    m = sentencepiece()
+    rng = random.Random(7)
+    letters = ["a", "e", "th", "ing", " ", "   ", "\n", "\n\n", "▁", "é", "漢", "😀", "0", "12", "\t", "<s>", "<0x0A>", "----", "\x00", "A"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["ab1-" * 30_000, "word " * 40_000, " " * 5000, "é漢" * 9000]
+    c = viterbi.counter(tokenizer_file("piece_bpe_32k.model"))
+    assert [c.text(t) for t in texts] == [len(m.encode(t)) for t in texts]
+    found = {r["doc_id"]: (r["n_chars"], r["n_tokens"]) for r in viterbi.count_tokens(docs.withColumn("n_tokens", F.lit("x")), tokenizer_file("piece_bpe_32k.model")).collect()}
+    assert found == {i: (len(t or ""), len(m.encode(t or ""))) for i, t, _ in small_docs}
 
 
 def test_query_counts_are_the_files_own(spark, sf_dir):
-    """op9 merges by rank, as the file is a BPE model."""
     from statloom.llm.queries import op9_token_counts
 
-    scores = {p: s for p, s in viterbi.vocabulary(tokenizer_file("piece_bpe_32k.model")) if not p.startswith("<")}
+    m = sentencepiece()
     counts = {r["doc_id"]: r["n_tokens"] for r in op9_token_counts(spark, sf_dir).collect()}
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    assert len(counts) == len(rows)
-    short = [r for r in rows if len(r["text"] or "") <= 1500]
-    assert len(short) > 20
-    assert [counts[r["doc_id"]] for r in short] == [merged(r["text"] or "", scores) for r in short]
+    assert counts == {r["doc_id"]: len(m.encode(r["text"] or "")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
 
 
-def test_own_counts_odd_rows(spark, odd_docs, no_docs):
-    from statloom.llm.piececounts import count_pieces
-
-    path = tokenizer_file("piece_bpe_32k.model")
-    assert count_pieces(no_docs, path).count() == 0
-    found = [r["n_tokens"] for r in count_pieces(odd_docs, path).collect()]
-    assert len(found) == 6 and min(found) == 0
+def test_counts_odd_rows(spark, odd_docs, no_docs):
+    path, m = tokenizer_file("piece_bpe_32k.model"), sentencepiece()
+    assert viterbi.count_tokens(no_docs, path).count() == 0
+    assert sorted(r["n_tokens"] for r in viterbi.count_tokens(odd_docs, path).collect()) == sorted(len(m.encode(r["text"] or "")) for r in odd_docs.collect())
 
 
 @pytest.fixture(scope="module")
