@@ -109,17 +109,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Odd base of the polynomial hashes.
+#: Odd bases of the polynomial hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SECOND_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
+def rolling(words: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
     """Rabin-Karp hash modulo 2**64 of every run of ``k`` entries, from prefix sums and powers of the base."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    powers = np.cumprod(np.full(len(words), BASE, np.uint64), dtype=np.uint64)
+    powers = np.cumprod(np.full(len(words), base, np.uint64), dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers, dtype=np.uint64)])
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
     back = np.cumprod(np.full(n, inverse, np.uint64), dtype=np.uint64)
     return mix((sums[k:] - sums[:-k])[:n] * back)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm.mixing import mix_sql
+from statloom.llm.substring import repeats_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mix_sources": mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": repeats_sql(), "op8_mix_sources": mix_sql()}

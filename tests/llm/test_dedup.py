@@ -125,12 +125,84 @@ def test_repeated_windows(spark, docs, small_docs):
 
 
 def test_repeated_windows_across_ranges(spark, docs, small_docs, monkeypatch):
+    """Some ranges, and many that are reached by groups."""
     from statloom.llm import substring
 
-    monkeypatch.setattr(substring, "RANGE", 2000)
     monkeypatch.setattr(substring, "BROADCAST_BYTES", 0)
-    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(spark, docs, keep_text=True).collect()}
-    assert found == brute_repeats([(r[0], r[1] or "") for r in small_docs])
+    wanted = brute_repeats([(r[0], r[1] or "") for r in small_docs])
+    for entries, direct in ((2000, 2048), (300, 4)):
+        found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(spark, docs, keep_text=True, entries=entries, direct=direct).collect()}
+        assert found == wanted
+
+
+def counted_here(rows, width, ranges, group, share=None):
+    """The steps of the operator in one process: (doc_id, removed words) and the entries that each target gets of known repeats."""
+    import pyarrow as pa
+
+    from statloom.llm import substring
+
+    def dealt(batches):
+        out = {}
+        for b in batches:
+            for r in b.to_pylist():
+                out.setdefault(r["target"], []).append(r)
+        return [substring._rows(out[k]) for k in sorted(out)]
+
+    batches = [pa.record_batch({"doc_id": pa.array([i for i, _ in rows[s : s + 5]], pa.int64()), "text": pa.array([t for _, t in rows[s : s + 5]])}) for s in range(0, len(rows), 5)]
+    first = dealt(substring._windows(width, ranges, group, False)(iter(batches)))
+    known = {b.column("target")[0].as_py(): sum(len(substring._entries(r)[2]) for r in b.to_pylist() if r["kind"]) for b in first}
+    if group > 1:
+        first = dealt(x for b in first for x in substring._regrouped(ranges)(iter([b])))
+    repeats = dealt(x for b in first for x in substring._repeats(ranges)(iter([b])))
+    removed = {}
+    for b in repeats:
+        for found in substring._merged(width)(iter([b])):
+            for r in found.to_pylist():
+                removed[r["id"]] = sum(e - s for s, e in zip(r["begins"], r["ends"], strict=True))
+    return removed, known
+
+
+@pytest.mark.parametrize("group", [1, 3])
+def test_windows_of_one_hash_are_told_apart(small_docs, monkeypatch, group):
+    """Six bits of the first hash make most windows collide; the second one tells them apart."""
+    import numpy as np
+
+    from statloom.llm import substring
+
+    plain = substring.rolling
+    monkeypatch.setattr(substring, "rolling", lambda words, k, *base: plain(words, k, *base) if base else plain(words, k) << np.uint64(58))
+    rows = [(r[0], r[1] or "") for r in small_docs]
+    removed, _ = counted_here(rows, 20, 8, group)
+    assert removed == {i: gone for i, (_, gone, _) in brute_repeats(rows).items() if gone}
+
+
+def test_known_repeats_are_spread():
+    """Documents that repeat themselves: no target holds much more than its share of the known repeats."""
+    text = " ".join(f"a{i}" for i in range(60))
+    _, known = counted_here([(i, f"{text} {text} x{i}") for i in range(800)], 20, 16, 1)
+    assert len(known) == 16 and max(known.values()) <= 4 * sum(known.values()) / 16
+
+
+def test_repeats_sql(docs, small_docs):
+    """The SQL that the query is held against removes what brute force removes."""
+    import duckdb
+
+    from statloom.llm.substring import repeats_sql
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", small_docs)
+    assert {r[0]: tuple(r[1:]) for r in c.execute(repeats_sql()).fetchall()} == brute_repeats([(r[0], r[1] or "") for r in small_docs])
+
+
+def test_repeats_in_long_texts_and_clashing_columns(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(3)}" if i == 0 else f"v{rng.randrange(300)}" for _ in range(150_000 if i == 0 else 400)), "x", 3, b"y") for i in range(6)] + [(6, "word " * 120_000, "x", 3, b"y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string, begins int, hashes binary")
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(spark, df).collect()}
+    assert found == brute_repeats([r[:2] for r in rows])
 
 
 def test_repeated_windows_odd_rows(spark, odd_docs, no_docs):
