@@ -1,13 +1,19 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-A bounded sample fits the codes: principal axes turned by iterative quantisation, one sign bit for each. A code is cut into
+A bounded sample fits the codes: principal axes turned by iterative quantisation, one sign bit for each, from several starts of the turning, since
+more bits follow distances closer. A code is cut into
 substrings, each with its own index from value to rows. If two codes differ in at most r bits, then by the pigeonhole principle some
 substring t differs in at most r_t of them, where the r_t + 1 add up to r + 1; probing every substring value within
 r_t of the query's therefore retrieves every code within r. Those codes' vectors are ranked by their exact distance.
+Where a radius has more values to probe than the index holds, the held values are compared instead; both find the same rows.
 
 The radius is fitted on the sample, which has fewer and so farther neighbours than all rows: it holds at least ``recall`` of the
 sample's true neighbours. A query that finds fewer than k rows within it probes again with a growing radius, up to all bits, until it has k
-or all candidates: rows far from dense groups, which set the radius, may have few codes near. Each task indexes blocks of its rows and answers a bounded share of the queries at a time.
+or all candidates: rows far from dense groups, which set the radius, may have few codes near. Each task indexes blocks of its rows and answers a bounded share of the queries at a time;
+the driver holds one such share (QUERIES vectors), and the rows are read once for each.
+
+How much is retrieved and ranked depends on the vectors alone: grouped ones have a small radius and few probes; among nearly uniform ones the nearest differ from a
+query in two fifths of the bits, and no cut into substrings of a size that can be probed leaves much out. ``shares`` tells both figures.
 """
 
 from __future__ import annotations
@@ -24,7 +30,8 @@ from statloom.llm.common import Scratch
 
 #: Vectors that the codes and the radius are fitted on, at most: those of the least id hashes.
 SAMPLE = 10_000
-BITS, PART = 64, 8
+#: Bits of one turning, turnings, and bits of a substring.
+BITS, TURNS, PART = 64, 4, 16
 #: Rows of an index block and queries that a task holds at most, on average.
 BLOCK, QUERIES = 16_384, 32_768
 SEED = 4
@@ -47,8 +54,8 @@ class Codes:
         return self.turn.shape[1] // PART
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """A byte for each substring."""
-        return np.packbits((x - self.centre) @ self.turn > 0, axis=1)
+        """A number of PART bits for each substring."""
+        return np.packbits((x - self.centre) @ self.turn > 0, axis=1).view(np.uint16)
 
     def radii(self) -> np.ndarray:
         """Probing radius of each substring; -1: not probed."""
@@ -60,18 +67,19 @@ def fit(x: np.ndarray, k: int = 10, recall: float = 0.985, rounds: int = 40, see
     """Iterative quantisation of the rows of ``x``, and the radius that holds ``recall`` of the k nearest neighbours of some of them."""
     rng = np.random.default_rng(seed)
     d = x.shape[1] if len(x) else 0
-    bits = max(PART, min(BITS, d // PART * PART))
     centre = x.mean(axis=0) if len(x) else np.zeros(d)
     y = x - centre
     axes = np.linalg.svd(y.T @ y)[0] if d else np.zeros((0, 0))
-    axes = np.hstack([axes, np.zeros((d, max(0, bits - d)))])[:, :bits]
-    v = y @ axes
-    turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
-    for _ in range(rounds if len(x) else 0):
-        a, _, b = np.linalg.svd(v.T @ np.sign(v @ turn))
-        turn = a @ b
-    codes = Codes(centre, axes @ turn, 0)
-    own = codes.encode(x) if len(x) else np.zeros((0, bits // PART), np.uint8)
+    axes = np.hstack([axes, np.zeros((d, max(0, BITS - d)))])[:, :BITS]
+    v, turns = y @ axes, []
+    for _ in range(TURNS):
+        turn = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
+        for _ in range(rounds if len(x) else 0):
+            a, _, b = np.linalg.svd(v.T @ np.sign(v @ turn))
+            turn = a @ b
+        turns.append(axes @ turn)
+    codes = Codes(centre, np.hstack(turns), 0)
+    own = codes.encode(x) if len(x) else np.zeros((0, codes.parts), np.uint16)
     apart = [0]
     for i in rng.choice(len(x), min(400, len(x)), replace=False) if len(x) else []:
         near = ((x - x[i]) ** 2).sum(axis=1)
@@ -82,34 +90,58 @@ def fit(x: np.ndarray, k: int = 10, recall: float = 0.985, rounds: int = 40, see
     return codes
 
 
+def probes() -> list[np.ndarray]:
+    """By radius, the differences of so many bits at most."""
+    bits = np.bitwise_count(np.arange(1 << PART, dtype=np.uint16))
+    return [np.flatnonzero(bits <= r).astype(np.uint16) for r in range(PART + 1)]
+
+
 class Index:
-    """Substring indexes over a block's codes."""
+    """Substring indexes over a block's codes: for each substring the values that occur, and the rows of each."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.buckets = []
+        self.parts = []
         for t in range(codes.shape[1]):
             order = np.argsort(codes[:, t], kind="stable")
-            self.buckets.append(np.split(order, np.searchsorted(codes[order, t], np.arange(1, 256))))
+            values, starts = np.unique(codes[order, t], return_index=True)
+            self.parts.append((order, values, np.r_[starts, len(order)]))
 
-    def within(self, code: np.ndarray, radius: int, radii: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
-        """Every row whose code is within the radius. near: by radius, the byte differences of so many bits at most."""
+    def retrieve(self, code: np.ndarray, radii: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+        """Rows of which some substring is within its radius."""
         hit = np.zeros(len(self.codes), bool)
         for t, r in enumerate(radii):
             if r >= 0:
-                buckets = self.buckets[t]
-                hit[np.concatenate([buckets[i] for i in near[min(int(r), PART)] ^ code[t]])] = True
-        rows = np.flatnonzero(hit)
+                order, values, starts = self.parts[t]
+                differ = near[min(int(r), PART)]
+                if len(differ) < len(values):
+                    asked = differ ^ code[t]
+                    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+                    at = at[values[at] == asked]
+                else:
+                    at = np.flatnonzero(np.bitwise_count(values ^ code[t]) <= r)
+                size = starts[at + 1] - starts[at]
+                hit[order[np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, code: np.ndarray, radius: int, radii: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+        """Every row whose code is within the radius."""
+        rows = self.retrieve(code, radii, near)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
 
+def shares(codes: Codes, x: np.ndarray, queries: np.ndarray) -> tuple[float, float]:
+    """Of the rows, how many the queries' probes retrieve and how many are ranked, on average."""
+    index, near, radii, asked = Index(codes.encode(x)), probes(), codes.radii(), codes.encode(queries)
+    got = [(len(index.retrieve(q, radii, near)), len(index.within(q, codes.radius, radii, near))) for q in asked]
+    return tuple(float(v) / max(1, len(x)) for v in np.mean(got, axis=0))
+
+
 def _search(codes: Codes, ids: np.ndarray, vectors: np.ndarray, k: int):
-    bits = np.bitwise_count(np.arange(256, dtype=np.uint8))
-    near = [np.flatnonzero(bits <= r).astype(np.uint8) for r in range(PART + 1)]
     width = vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = codes.encode(vectors)
+        asked, near = codes.encode(vectors), probes()
         best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(ids)
 
         def block(own: np.ndarray, x: np.ndarray) -> None:

@@ -27,17 +27,39 @@ def answers(df):
 
 
 def test_within_radius_is_complete():
-    """Probing finds every code within the radius, by the pigeonhole principle."""
+    """Probing finds every code within the radius, by the pigeonhole principle, by enumerated values as by held ones."""
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
-    index = mih.Index(codes)
-    near = [np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= r).astype(np.uint8) for r in range(9)]
-    for radius in (3, 11, 17, 24):
-        c = mih.Codes(np.zeros(64), np.eye(64), radius)
-        for q in codes[:20]:
-            apart = np.bitwise_count(codes ^ q).sum(axis=1)
-            assert (index.within(q, radius, c.radii(), near) == np.flatnonzero(apart <= radius)).all()
-            assert c.radii().sum() + 8 == radius + 1
+    near = mih.probes()
+    for many in (300, 6000):
+        codes = rng.integers(0, 1 << mih.PART, (many, 4), dtype=np.uint16)
+        codes[::3] = codes[0] ^ (1 << rng.integers(0, mih.PART, (len(codes[::3]), 4))).astype(np.uint16)
+        index = mih.Index(codes)
+        for radius in (0, 2, 3, 11, 17, 24, 40, 64):
+            c = mih.Codes(np.zeros(64), np.eye(64), radius)
+            for q in codes[:20]:
+                apart = np.bitwise_count(codes ^ q).sum(axis=1)
+                assert (index.within(q, radius, c.radii(), near) == np.flatnonzero(apart <= radius)).all()
+                assert c.radii().sum() + 4 == radius + 1
+
+
+def test_shares_that_are_retrieved_and_ranked():
+    """Grouped vectors: the index leaves nearly all out. Nearly uniform ones, as in the tables: few are ranked, though most are retrieved."""
+    rng = np.random.default_rng(2)
+    groups = np.repeat(rng.normal(size=(300, 64)), 40, axis=0) + 0.02 * rng.normal(size=(12_000, 64))
+    codes = mih.fit(groups[rng.choice(len(groups), 5000, replace=False)])
+    retrieved, ranked = mih.shares(codes, groups, groups[::200])
+    assert retrieved < 0.02 and ranked < 0.01
+    uniform = rng.normal(size=(12_000, 64))
+    uniform /= np.linalg.norm(uniform, axis=1, keepdims=True)
+    codes = mih.fit(uniform[:5000])
+    queries = uniform[::400]
+    _, ranked = mih.shares(codes, uniform, queries)
+    assert ranked < 0.08
+    index, near, hit = mih.Index(codes.encode(uniform)), mih.probes(), 0
+    for q, code in zip(queries, codes.encode(queries), strict=True):
+        wanted = np.argsort(((uniform - q) ** 2).sum(axis=1))[1:11]
+        hit += np.isin(wanted, index.within(code, codes.radius, codes.radii(), near)).sum()
+    assert hit >= 0.95 * 10 * len(queries)
 
 
 def test_recall(spark, sf_dir):
