@@ -1,23 +1,29 @@
 """MinHash near-duplicate detection by a chosen-path set similarity join.
 
-Every distinct shingle set gets ``POSITIONS`` minwise tokens. Each of ``TREES`` independent trees starts with all sets in
-one node. A node picks ``BRANCH`` positions by hash, and a set goes to the child named by the position and its own token
-there, so two sets of similarity s share a child with chance 1 - (1 - s)**BRANCH at each node. Two levels are always
+Every distinct shingle set gets ``POSITIONS`` minwise tokens. Each of several independent trees starts with all sets in
+one node. A node picks some positions by hash, and a set goes to the child named by the position and its own token
+there, so two sets of similarity s share a child with chance 1 - (1 - s)**branch at each node. Two levels are always
 taken; a node that still has more than ``SMALL`` sets recurses, a smaller one is compared exhaustively by two bits of each
-token. At the threshold 0.8 a tree misses a pair with chance below 0.0625 at any depth, so four trees miss 2e-5 of such pairs;
-the comparison by bits, at three and a half standard deviations, misses 3e-4 of them; both miss far less of closer pairs.
+token. A tree misses a pair at the threshold, at whatever depth, with at most the chance e = (1 - s + s * e)**branch that such a branching dies out;
+``shape`` chooses branches and trees so that at most one in ten thousand such pairs is missed (at 0.8: two branches, e = 0.0625, four trees, 2e-5).
+The comparison by bits, at three and a half standard deviations, misses 3e-4 of them; both miss far less of closer pairs.
 
 Links are confirmed on full sets. A node first offers for each set the MOST others that look most alike; once those links have
 made components, a node that had more is looked at again and offers eight times as many of the pairs that still cross two components.
 A node that has even more gets the full sets of its members and confirms all such pairs itself, best first, joining components as
 it goes. A large group of near copies thus costs a few links for each of its members, not all pairs, and no link between
 components is lost.
+
+No task gets a large node whole. At first it is dealt in parts of about ``SMALL`` sets, each compared in itself. Later the sets outside its
+largest component, at most ``SMALL`` or the node branches, go to every part, and the component's are dealt out. Full sets are bounded by bytes in the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +33,7 @@ from pyspark.sql import functions as F
 from statloom.llm.common import Scratch, hash_words, mix, slices, texts, with_row_id
 from statloom.llm.components import components
 
-POSITIONS, TREES, BRANCH, DEPTH = 128, 4, 2, 2
-#: Nodes of a set on the DEPTH-th level of all trees.
-NODES = TREES * BRANCH**DEPTH
+POSITIONS, DEPTH = 128, 2
 #: Sets in a node that are compared exhaustively.
 SMALL = 8192
 #: Nodes up to this size offer all their pairs at once.
@@ -40,6 +44,8 @@ MOST = 2
 CHUNK = 64
 #: Shingles that are compared with a set at a time.
 SHINGLES = 200_000
+#: Shingles of full sets that a part holds, and sets up to which a node is not branched for its shingles.
+HELD_SHINGLES, FEW = 20_000_000, 64
 #: Rows of a side that is broadcast at most (24 bytes each).
 BROADCAST_ROWS = 500_000
 #: Bytes of a hashed shingle that are kept for verification.
@@ -50,6 +56,32 @@ _MULTIPLY = _random.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64
 _ONE = np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Shape:
+    trees: int
+    branch: int
+
+    @property
+    def nodes(self) -> int:
+        """Of a set, on the DEPTH-th level of all trees."""
+        return self.trees * self.branch**DEPTH
+
+
+def shape(threshold: float, recall: float = 0.9999) -> Shape:
+    """The trees and branches of least work that find ``recall`` of the pairs at the threshold."""
+    best = None
+    for branch in range(2, 17):
+        lost = 0.0
+        for _ in range(1000):  # up to the chance of dying out at any depth
+            lost = (1 - threshold + threshold * lost) ** branch
+        if lost < 0.5:
+            own = Shape(max(1, math.ceil(math.log(1 - recall) / math.log(max(lost, 1e-12)) - 1e-9)), branch)
+            best = own if best is None or own.nodes < best.nodes else best
+    if best is None:
+        raise ValueError("the threshold is too low for chosen paths")
+    return best
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of the whole sequence where it is shorter; none without words."""
     n = len(words)
@@ -95,66 +127,85 @@ PLANES = ("p0", "p1", "p2", "p3")
 _SUMMARY = "rid long, doc_id long, n long, digest binary, p0 long, p1 long, p2 long, p3 long, tokens binary, members binary"
 
 
-def _children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The BRANCH children of each (node, set); the second array has their rows."""
+def _children(nodes: np.ndarray, tokens: np.ndarray, branch: int) -> tuple[np.ndarray, np.ndarray]:
+    """The children of each (node, set), one for each of ``branch`` positions; the second array has their rows."""
     out = []
     first = mix(nodes)
-    chosen = first % np.uint64(POSITIONS)
     rows = np.arange(len(nodes))
-    for j in range(BRANCH):
-        if j:  # another position than the first
-            chosen = (first % np.uint64(POSITIONS) + _ONE + mix(first + np.uint64(j)) % np.uint64(POSITIONS - 1)) % np.uint64(POSITIONS)
+    # steps by an odd number pass every position of a power of two, so a node's positions differ
+    step = mix(first + _ONE) | _ONE
+    for j in range(branch):
+        chosen = (first + step * np.uint64(j)) % np.uint64(POSITIONS)
         out.append(mix(mix(nodes + chosen + _ONE) + tokens[rows, chosen.astype(np.int64)].astype(np.uint64)))
-    return np.concatenate(out), np.tile(rows, BRANCH)
+    return np.concatenate(out), np.tile(rows, branch)
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, POSITIONS)
 
 
-def _first_nodes(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _first_nodes(tokens: np.ndarray, of: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each tree's nodes on its DEPTH-th level, and their rows."""
-    for tree in range(TREES):
+    for tree in range(of.trees):
         nodes, rows = np.full(len(tokens), mix(np.uint64([tree + 1]))[0]), np.arange(len(tokens))
         for _ in range(DEPTH):
-            nodes, own = _children(nodes, tokens[rows])
+            nodes, own = _children(nodes, tokens[rows], of.branch)
             rows = rows[own]
         yield nodes, rows
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(of: Shape):
     """Batches of (rid, n, planes, tokens) to the nodes of every tree's DEPTH-th level."""
-    for b in batches:
-        if b.num_rows:
-            for nodes, rows in _first_nodes(_tokens(b.column("tokens"))):
-                yield _node_rows(nodes, b.take(pa.array(rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                for nodes, rows in _first_nodes(_tokens(b.column("tokens")), of):
+                    yield _node_rows(nodes, b.take(pa.array(rows)))
+
+    return run
+
+
+def _path_ids(of: Shape):
+    """The nodes alone, to be counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch({"node": pa.array(np.concatenate([nodes for nodes, _ in _first_nodes(_tokens(b.column("tokens")), of)]).view(np.int64))})
+
+    return run
 
 
 def _node_rows(nodes: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch({"node": pa.array(nodes.view(np.int64))} | {k: b.column(k) for k in ("rid", "n", *PLANES)})
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _branch(of: Shape):
     """Batches of (node, rid, n, planes, tokens) to the node's children, with no earlier node."""
-    for b in batches:
-        if b.num_rows:
-            nodes, rows = _children(b.column("node").to_numpy().view(np.uint64), _tokens(b.column("tokens")))
-            out = _node_rows(nodes, b.take(pa.array(rows)))
-            yield out.append_column("earlier", pa.array([b""] * len(nodes), pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                nodes, rows = _children(b.column("node").to_numpy().view(np.uint64), _tokens(b.column("tokens")), of.branch)
+                out = _node_rows(nodes, b.take(pa.array(rows)))
+                yield out.append_column("earlier", pa.array([b""] * len(nodes), pa.binary()))
+
+    return run
 
 
-def _earlier(branched: np.ndarray):
+def _earlier(branched: np.ndarray, of: Shape):
     """Batches of (node, rid, n, planes, tokens) with the set's nodes that come before this one; 0 for a branched one, below which two sets may part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                seen = np.empty((b.num_rows, NODES), np.uint64)
+                seen = np.empty((b.num_rows, of.nodes), np.uint64)
                 at = 0
-                for nodes, rows in _first_nodes(_tokens(b.column("tokens"))):
+                for nodes, rows in _first_nodes(_tokens(b.column("tokens")), of):
                     order = np.argsort(rows, kind="stable")
-                    seen[:, at : at + BRANCH**DEPTH] = nodes[order].reshape(b.num_rows, -1)
-                    at += BRANCH**DEPTH
+                    seen[:, at : at + of.branch**DEPTH] = nodes[order].reshape(b.num_rows, -1)
+                    at += of.branch**DEPTH
                 own = b.column("node").to_numpy().view(np.uint64)
                 same = seen == own[:, None]
                 before = np.where(same.any(axis=1), same.argmax(axis=1), 0)
@@ -174,23 +225,27 @@ class _Group:
     def __init__(self, c: dict[str, np.ndarray], threshold: float, least: int):
         self.rid, self.n, self.label, self.planes = c["rid"], c["n"], c["label"], [c[k] for k in PLANES]
         self.threshold, self.least = threshold, least
+        # the first sets are compared with each other in the first part of a node alone
+        self.first = int(c["other"][0])
+        self.skip = self.first if c["part"][0] else 0
         self.earlier = None
         if "earlier" in c and (most := max(map(len, c["earlier"]))):
             self.earlier = np.stack([np.frombuffer(x.ljust(most, b"\0"), np.uint64) for x in c["earlier"]])
             self.before = np.array([len(x) // 8 for x in c["earlier"]])
 
-    def candidates(self, first: int) -> Iterator[tuple[int, np.ndarray]]:
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each of the first sets with the later ones that may reach the threshold, are in another component and didn't meet it in an earlier node, the best first."""
-        for i in range(min(first, len(self.rid) - 1)):
-            rest = slice(i + 1, None)
+        for i in range(min(self.first, len(self.rid) - 1)):
+            start = max(i + 1, self.skip)
+            rest = slice(start, None)
             agree = agreement(*((p[i], p[rest]) for p in self.planes))
             n = self.n[rest]
             hit = np.flatnonzero((agree >= self.least) & (np.minimum(n, self.n[i]) >= self.threshold * np.maximum(n, self.n[i]) - 1e-9) & (self.label[rest] != self.label[i]))
             if self.earlier is not None and len(hit):
                 k = np.flatnonzero(self.earlier[i, : self.before[i]])
-                hit = hit[~(self.earlier[np.ix_(hit + i + 1, k)] == self.earlier[i, k]).any(axis=1)]
+                hit = hit[~(self.earlier[np.ix_(hit + start, k)] == self.earlier[i, k]).any(axis=1)]
             if len(hit):
-                yield i, hit[np.argsort(-agree[hit], kind="stable")] + i + 1
+                yield i, hit[np.argsort(-agree[hit], kind="stable")] + start
 
 
 def agreement(*planes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -199,8 +254,8 @@ def agreement(*planes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return POSITIONS - (np.bitwise_count((a0 ^ b0) | (a1 ^ b1)).astype(np.int64) + np.bitwise_count((a2 ^ b2) | (a3 ^ b3)))
 
 
-def _offer(threshold: float, full: bool, most: int, limit: int):
-    """Batches sorted by node and, if full, with the most frequent component last; gives pairs (kind 0), up to ``most`` for a set, and the sets of nodes that have more (1)."""
+def _offer(threshold: float, full: bool, most: int):
+    """Batches sorted by node, part and, if full, with the most frequent component last; gives pairs (kind 0), up to ``most`` for a set, and the sets of nodes that have more (1)."""
     least = _least_agreement(threshold)
 
     def offered(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -222,10 +277,10 @@ def _offer(threshold: float, full: bool, most: int, limit: int):
                 yield c["rid"][i[ok]], c["rid"][j[ok]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("node", "rid", "n", *PLANES, "label", "size", "other", *(["earlier"] if full else []))
-        for c in whole_groups(batches, names, limit):
+        names = ("node", "part", "rid", "n", *PLANES, "label", "size", "other", "dealt", *(["earlier"] if full else []))
+        for c in whole_groups(batches, names):
             a, b = [], []
-            starts = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
+            starts = _starts(c)
             ends = np.r_[starts[1:], len(c["node"])]
             size = ends - starts
             left = np.repeat(ends, size) - 1 - np.arange(len(c["node"]))
@@ -234,10 +289,9 @@ def _offer(threshold: float, full: bool, most: int, limit: int):
                 a.append(x), b.append(y)
             for s, e in zip(starts[~small], ends[~small], strict=True):
                 group = _Group({k: v[s:e] for k, v in c.items()}, threshold, least)
-                # if full, a part of a large node begins with all the sets outside its main component
-                parted = not full and c["size"][s] > limit
-                more, touched = parted, np.full(e - s, parted)
-                for i, hit in group.candidates(int(c["other"][s])):
+                dealt = bool(c["dealt"][s])  # sets of other parts were not compared with these
+                more, touched = dealt, np.full(e - s, dealt)
+                for i, hit in group.candidates():
                     touched[i] = touched[hit] = True
                     a.append(np.full(min(most, len(hit)), group.rid[i])), b.append(group.rid[hit[:most]])
                     more |= len(hit) > most
@@ -263,20 +317,20 @@ def _least_agreement(threshold: float) -> int:
     return int(POSITIONS * (p - 3.5 * (p * (1 - p) / POSITIONS) ** 0.5))
 
 
-def _exact(threshold: float, limit: int):
-    """Batches of full nodes with members, the most frequent component last; gives confirmed links, at most one less than a node's components."""
+def _exact(threshold: float):
+    """Batches of nodes' parts with members, the most frequent component last; gives confirmed links, at most one less than a part's components."""
     hundred = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in whole_groups(batches, ("node", "rid", "n", *PLANES, "label", "size", "other", "earlier", "members"), limit):
-            starts = np.flatnonzero(np.r_[True, c["node"][1:] != c["node"][:-1]])
+        for c in whole_groups(batches, ("node", "part", "rid", "n", *PLANES, "label", "size", "other", "earlier", "members")):
+            starts = _starts(c)
             a, b = [], []
             for s, e in zip(starts, np.r_[starts[1:], len(c["node"])], strict=True):
                 group = _Group({k: v[s:e] for k, v in c.items()}, threshold, _least_agreement(threshold))
                 group.label = group.label.copy()
                 raw = c["members"][s:e]
                 sizes = np.array([len(m) // KEPT for m in raw])
-                for i, hit in group.candidates(int(c["other"][s])):
+                for i, hit in group.candidates():
                     own = _unpacked(raw[i])
                     for part in slices(sizes[hit].tolist(), SHINGLES):  # best first
                         j = hit[part]
@@ -296,37 +350,36 @@ def _exact(threshold: float, limit: int):
     return run
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], limit: int) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of whole nodes. A node beyond the limit comes in parts of that many rows, each after the node's first ``other`` rows."""
-    held: dict[str, np.ndarray] = {}
-    head: dict[str, np.ndarray] = {}
+def _starts(c: dict[str, np.ndarray]) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (c["node"][1:] != c["node"][:-1]) | (c["part"][1:] != c["part"][:-1])])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of whole parts of nodes, of bounded rows and bytes as long as no part is larger."""
+    held: list[dict[str, np.ndarray]] = []
+    rows = size = 0
+
+    def taken() -> dict[str, np.ndarray]:
+        out = {k: np.concatenate([h[k] for h in held]) for k in names}
+        held.clear()
+        return out
+
     for b in batches:
+        if not b.num_rows:
+            continue
         new = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
         new |= {k: new[k].view(np.uint64) for k in PLANES}  # bitwise_count takes absolute values of signed numbers
-        held = {k: np.concatenate([held[k], new[k]]) for k in names} if held else new
-        while (total := len(held["node"])) > 2 * limit:
-            last = held["node"][-1]
-            cut = int(np.searchsorted(held["node"] == last, True)) if held["node"][0] != last else 0
-            if cut:
-                yield _with_head(head, {k: v[:cut] for k, v in held.items()})
-                head = {}
-            else:  # one node fills it all
-                cut = limit
-                part = {k: v[:cut] for k, v in held.items()}
-                yield _with_head(head, part)
-                if not head and 0 < part["other"][0] <= limit:
-                    head = {k: v[: part["other"][0]] for k, v in part.items()}
-            held = {k: v[cut:] for k, v in held.items()}
-            if total == cut:
-                break
-    if held and len(held["node"]):
-        yield _with_head(head, held)
-
-
-def _with_head(head: dict[str, np.ndarray], part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    if head and head["node"][0] == part["node"][0]:
-        return {k: np.concatenate([head[k], v]) for k, v in part.items()}
-    return part
+        held.append(new)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows > 2 * SMALL or size > KEPT * HELD_SHINGLES:
+            whole = taken()
+            last = int(_starts(whole)[-1])  # this part may go on in the next batch
+            if last:
+                yield {k: v[:last] for k, v in whole.items()}
+            held.append({k: v[last:] for k, v in whole.items()})
+            rows, size = len(held[0]["node"]), size * (len(whole["node"]) - last) // len(whole["node"])
+    if held:
+        yield taken()
 
 
 _EARLIER = _NODE + ", earlier binary"
@@ -362,14 +415,17 @@ def _verify(threshold: float):
 class ChosenPath:
     """Groups documents whose k-word shingle sets have a Jaccard similarity of at least ``threshold``."""
 
-    def __init__(self, spark: SparkSession, k: int = 5, threshold: float = 0.8, small: int = SMALL):
-        self.spark, self.k, self.threshold, self.small = spark, k, threshold, small
+    def __init__(self, spark: SparkSession, k: int = 5, threshold: float = 0.8, small: int = SMALL, recall: float = 0.9999):
+        self.spark, self.k, self.threshold, self.small, self.shape = spark, k, threshold, small, shape(threshold, recall)
         self.scratch = Scratch(spark, "near")
 
+    def light(self, table: DataFrame) -> DataFrame:
+        """A written table, to be broadcast up to a size."""
+        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
     def only(self, table: DataFrame, rids: DataFrame) -> DataFrame:
         """The table's rows of some sets, so that what follows shuffles no others. Their numbers are broadcast up to a size, beyond it joined."""
-        own = rids.select("rid").distinct()
-        return table.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, "rid", "left_semi")
+        return table.join(self.light(rids.select("rid").distinct()), "rid", "left_semi")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets reach the threshold. The partners of ``a`` are dealt out in teams of about CHUNK, and its set goes to each team once."""
@@ -377,23 +433,42 @@ class ChosenPath:
         teams = pairs.join(count, "a").withColumn("team", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / CHUNK)))
         leads = teams.select("a", "team", F.lit(True).alias("lead"), F.col("a").alias("rid")).distinct()
         need = self.scratch.save(teams.select("a", "team", F.lit(False).alias("lead"), F.col("b").alias("rid")).union(leads))
-        if need.count() <= BROADCAST_ROWS:
-            rows = sets.join(F.broadcast(need), "rid")
-        else:
-            rows = sets.join(need, "rid")
+        rows = sets.join(self.light(need), "rid")
         rows = rows.select("a", "team", "lead", "rid", "members").repartition("a", "team").sortWithinPartitions("a", "team", F.col("lead").desc())
         links = self.scratch.save(rows.mapInArrow(_verify(self.threshold), "u long, v long"))
         self.scratch.drop(need)
         return links
 
+    def first(self, reps: DataFrame) -> DataFrame:
+        """The sets' first nodes, those of several sets. A large one comes in parts, by hash, of about ``small`` sets."""
+        tokens = reps.select("rid", "n", *PLANES, "tokens")
+        large = self.scratch.save(tokens.select("tokens").mapInArrow(_path_ids(self.shape), "node long").groupBy("node").agg(F.count("*").alias("of")).where(F.col("of") > self.small))
+        nodes = tokens.mapInArrow(_paths(self.shape), _NODE)
+        if large.isEmpty():
+            nodes = nodes.withColumns({"dealt": F.lit(False), "part": F.lit(0).cast("long")})
+        else:
+            part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("of") / self.small))
+            nodes = nodes.join(self.light(large), "node", "left").withColumn("dealt", F.col("of").isNotNull()).withColumn("part", F.when(F.col("dealt"), part).otherwise(0)).drop("of")
+        size = F.count("*").over(Window.partitionBy("node", "part"))
+        found = nodes.withColumn("label", F.col("rid")).withColumn("size", size).where("size > 1").withColumn("other", F.col("size"))
+        return found.sortWithinPartitions("node", "part")
+
     def sized(self, nodes: DataFrame) -> DataFrame:
-        """Nodes of at least two components, with their size and how many sets are outside the most frequent component."""
-        w = Window.partitionBy("node")
-        if "label" not in nodes.columns:
-            return nodes.withColumn("label", F.col("rid")).withColumn("size", F.count("*").over(w)).where("size > 1").withColumn("other", F.col("size")).sortWithinPartitions("node")
-        mixed = nodes.groupBy("node", "label").agg(F.count("*").alias("of")).groupBy("node").agg(F.sum("of").alias("size"), F.max_by("label", F.struct("of", "label")).alias("main"), F.max("of").alias("most"), F.count("*").alias("labels")).where("labels > 1")
-        found = nodes.join(mixed, "node").withColumn("other", F.col("size") - F.col("most"))
-        return found.withColumn("last", F.col("label") == F.col("main")).drop("main", "most", "labels")
+        """Nodes of at least two components, with their size, how many sets are outside the most frequent component, whether they branch and into how many parts they are dealt."""
+        labels = nodes.groupBy("node", "label").agg(F.count("*").alias("of"), F.sum("n").alias("shingles"))
+        top = F.max(F.struct("of", "label", "shingles"))
+        sums = labels.groupBy("node").agg(F.sum("of").alias("size"), F.sum("shingles").alias("all"), top.alias("top"), F.count("*").alias("labels")).where("labels > 1")
+        other, others = F.col("size") - F.col("top.of"), F.col("all") - F.col("top.shingles")
+        branch = (other > self.small) | ((others > HELD_SHINGLES) & (other > FEW))
+        parts = F.greatest(F.ceil(F.col("top.of") / self.small), F.ceil(F.col("top.shingles") / HELD_SHINGLES), F.lit(1))
+        mixed = self.scratch.save(sums.select("node", "size", other.alias("other"), F.col("top.label").alias("main"), branch.alias("branch"), parts.alias("parts")))
+        found = nodes.join(self.light(mixed), "node")
+        return found.withColumn("last", F.col("label") == F.col("main")).drop("main")
+
+    def dealt(self, found: DataFrame) -> DataFrame:
+        """The most frequent component's sets in one part each, the others in every part, first."""
+        everywhere = F.when(F.col("last"), F.array(F.pmod(F.xxhash64("rid"), "parts"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        return found.where(~F.col("branch")).withColumn("part", F.explode(everywhere)).withColumn("dealt", F.lit(False)).drop("parts", "branch")
 
     def run(self, docs: DataFrame, given: bool = False) -> DataFrame:
         """``docs``: (doc_id long, text string), other columns are ignored but a unique long ``rid`` that is ``given``. Returns rid, doc_id, n_shingles, component_id (smallest doc_id reachable) and first (one row of each component).
@@ -408,29 +483,28 @@ class ChosenPath:
         light = sets.select("rid", "doc_id", "n", "digest")
         classes = scratch.save(light.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("digest", F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("least")))
         reps = self.only(sets, classes)
-        paths = reps.select("rid", "n", *PLANES, "tokens").mapInArrow(_paths, _NODE)
-        links = labels = None
-        tested = None
-        nodes, full, most = paths, False, MOST
-        branched = np.zeros(0, np.uint64)  # of more than ``small`` sets each, so few
+        links = labels = tested = nodes = None
+        most = MOST
+        branched = np.zeros(0, np.uint64)  # of more than ``small`` sets or HELD_SHINGLES shingles each, so few
         while True:
-            found = self.sized(nodes)
-            large = (F.col("size") > self.small) & ((F.col("other") > self.small) | F.lit(not full))
-            branch = None
+            full, branch, again = nodes is not None, None, None
             if full:
-                found = scratch.save(found)
-                parted = found.where(large).select("node", "rid", "n", *PLANES)
-                branch = scratch.save(parted.join(self.only(reps, parted).select("rid", "tokens"), "rid").mapInArrow(_branch, _EARLIER))
-                branched = np.union1d(branched, np.array([r["node"] for r in parted.select("node").distinct().collect()], np.int64).view(np.uint64))
-                found = found.repartition("node").sortWithinPartitions("node", "last", "rid")
-            if branch is not None and not branch.isEmpty():  # sets may have parted below an earlier node, which then doesn't count
-                found = found.withColumn("earlier", F.lit(b""))
+                every = scratch.save(self.sized(nodes))
+                parted = every.where("branch").select("node", "rid", "n", *PLANES)
+                if not parted.isEmpty():
+                    branch = scratch.save(parted.join(self.only(reps, parted).select("rid", "tokens"), "rid").mapInArrow(_branch(self.shape), _EARLIER))
+                    branched = np.union1d(branched, np.array([r["node"] for r in parted.select("node").distinct().collect()], np.int64).view(np.uint64))
+                found = self.dealt(every)
+                if branch is not None:  # sets may have parted below an earlier node, which then doesn't count
+                    found = found.withColumn("earlier", F.lit(b""))
+            else:
+                found = self.first(reps)
             if most > 8 * MOST:
-                again = None
-                rows = found.where(~large).join(self.only(sets, found).select("rid", "members"), "rid")
-                new = scratch.save(rows.repartition("node").sortWithinPartitions("node", "last", "rid").mapInArrow(_exact(self.threshold, self.small), "u long, v long"))
+                found = found.join(self.only(sets, every.where(~F.col("branch"))).select("rid", "members"), "rid")
+                new = scratch.save(found.repartition("node", "part").sortWithinPartitions("node", "part", "last", "rid").mapInArrow(_exact(self.threshold), "u long, v long"))
             else:
-                offers = scratch.save((found.where(~large) if full else found).mapInArrow(_offer(self.threshold, full, most, self.small), _OFFER))
+                found = found.repartition("node", "part").sortWithinPartitions("node", "part", "last", "rid") if full else found
+                offers = scratch.save(found.mapInArrow(_offer(self.threshold, full, most), _OFFER))
                 pairs = offers.where("kind = 0").select("a", "b").distinct()
                 pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
                 tested = pairs
@@ -438,26 +512,27 @@ class ChosenPath:
                 again = offers.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rid")).distinct()
             links = new if links is None else scratch.save(links.union(new))
             if not new.isEmpty():
-                labels = components(links, scratch)
+                labels = components(links, scratch).withColumnRenamed("node", "rid")
             todo = branch
             if again is not None:
-                todo = again.join(self.only(reps, again).select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier(branched), _EARLIER)
+                todo = again.join(self.only(reps, again).select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier(branched, self.shape), _EARLIER)
                 todo = todo if branch is None else todo.union(branch)
+            if todo is None:
+                break
             if labels is not None:
-                todo = todo.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-                todo = todo.withColumn("label", F.coalesce("label", "rid"))
+                todo = todo.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
             else:
                 todo = todo.withColumn("label", F.col("rid"))
-            nodes, full, most = scratch.save(todo), True, most * 8
+            nodes, most = scratch.save(todo), most * 8
             if nodes.isEmpty():
                 break
         if labels is not None:
-            classes = classes.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+            classes = classes.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         else:
             classes = classes.withColumn("label", F.col("rid"))
-        least = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "rid")).getField("rid").alias("first_rid"))
-        joined = light.join(classes.join(least, "label").select("digest", "component_id", "first_rid"), "digest", "left")
-        return joined.select(
-            "rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-            ((F.col("n") == 0) | (F.col("rid") == F.col("first_rid"))).alias("first"),
-        )
+        least = scratch.save(classes.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "rid")).getField("rid").alias("first_rid")))
+        known = scratch.save(classes.join(self.light(least), "label").select("digest", "component_id", "first_rid"))
+        # empty sets need no partner and would all meet in one task
+        alone = light.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+        joined = light.where("n > 0").join(self.light(known), "digest")
+        return joined.select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("first_rid")).alias("first")).union(alone)

@@ -15,7 +15,7 @@ def shingles(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def brute(rows, k):
+def brute(rows, k, hundred=80):
     sets = {i: shingles(t, k) for i, t, *_ in rows}
     parent = {i: i for i in sets}
 
@@ -28,7 +28,7 @@ def brute(rows, k):
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= hundred * (len(sets[i]) + len(sets[j]) - both):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -40,13 +40,43 @@ def test_near_copies(spark, docs, small_docs, k):
     assert found == brute(small_docs, k)
 
 
-@pytest.mark.parametrize("small, most", [(12, 2), (8192, 1)])
-def test_large_group_with_recursion(spark, monkeypatch, small, most):
-    """Nodes beyond a small limit are parted, branch and are confirmed in place; the groups stay the same."""
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_other_thresholds(spark, docs, small_docs, threshold):
+    """Trees and branches follow the threshold."""
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ChosenPath(spark, k=2, threshold=threshold).run(docs).collect()}
+    assert found == brute(small_docs, 2, round(100 * threshold))
+
+
+def test_shape_reaches_the_recall():
+    """The chosen trees find pairs at the threshold as often as promised, on random tokens."""
+    import numpy as np
+
+    from statloom.llm import chosenpath
+
+    rng = np.random.default_rng(5)
+    assert chosenpath.shape(0.8) == chosenpath.Shape(4, 2)
+    for threshold in (0.5, 0.7, 0.8, 0.9):
+        of = chosenpath.shape(threshold, 0.99)
+        a = rng.integers(0, 1 << 32, (3000, chosenpath.POSITIONS), dtype=np.uint32)
+        b = np.where(rng.random(a.shape) < threshold, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+        met = np.zeros(len(a), bool)
+        for (x, rows), (y, _) in zip(chosenpath._first_nodes(a, of), chosenpath._first_nodes(b, of), strict=True):
+            order = np.argsort(rows, kind="stable")
+            x, y = x[order].reshape(len(a), -1), y[order].reshape(len(a), -1)
+            met |= (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+        assert met.mean() >= 0.985
+    with pytest.raises(ValueError):
+        chosenpath.shape(0.01)
+
+
+@pytest.mark.parametrize("small, most, shingles", [(12, 2, 20_000_000), (8192, 1, 20_000_000), (8192, 1, 3000), (30, 1, 1000)])
+def test_large_group_with_recursion(spark, monkeypatch, small, most, shingles):
+    """Nodes beyond small limits of sets or shingles are dealt in parts, branch and are confirmed in place; the groups stay the same."""
     import random
 
     from statloom.llm import chosenpath
 
+    monkeypatch.setattr(chosenpath, "HELD_SHINGLES", shingles)
     rng = random.Random(3)
     base, other = [f"w{i}" for i in range(120)], [f"w{i}" for i in range(0, 240, 2)]
     rows = []
@@ -69,17 +99,18 @@ def test_branched_nodes_do_not_count_as_earlier():
     from statloom.llm import chosenpath
 
     tokens = np.random.default_rng(1).integers(0, 1 << 32, (1, chosenpath.POSITIONS), dtype=np.uint32).repeat(2, axis=0)
-    nodes = np.concatenate([n[rows == 0] for n, rows in chosenpath._first_nodes(tokens)])
-    assert len(set(nodes.tolist())) == chosenpath.NODES
+    of = chosenpath.shape(0.8)
+    nodes = np.concatenate([n[rows == 0] for n, rows in chosenpath._first_nodes(tokens, of)])
+    assert len(set(nodes.tolist())) == of.nodes
     plane = pa.array([5, 5], pa.int64())
 
     def links(at, branched):
         own = pa.record_batch({"node": pa.array(nodes[[at, at]].view(np.int64)), "rid": pa.array([1, 2]), "n": pa.array([100, 100]), **dict.fromkeys(chosenpath.PLANES, plane), "tokens": pa.array([t.tobytes() for t in tokens], pa.binary())})
-        (b,) = chosenpath._earlier(branched)([own])
-        columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("rid", "n", *chosenpath.PLANES, "earlier")} | {"label": np.array([1, 2])}
+        (b,) = chosenpath._earlier(branched, of)([own])
+        columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("rid", "n", *chosenpath.PLANES, "earlier")} | {"label": np.array([1, 2]), "other": np.array([2, 2]), "part": np.array([0, 0])}
         columns |= {k: columns[k].view(np.uint64) for k in chosenpath.PLANES}
         group = chosenpath._Group(columns, 0.8, 90)
-        return [(int(group.rid[i]), int(group.rid[j])) for i, hit in group.candidates(2) for j in hit]
+        return [(int(group.rid[i]), int(group.rid[j])) for i, hit in group.candidates() for j in hit]
 
     none = np.zeros(0, np.uint64)
     assert [links(at, none) for at in (0, 1, 5)] == [[(1, 2)], [], []]
