@@ -33,9 +33,35 @@ def frame(df: DataFrame, result: dict) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(flat.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in flat.items()))
 
 
+#: What to do about a failed test, by the first word of its name.
+GUIDANCE = {
+    "Rainbow": "try transformed predictors, polynomial terms or a local fit", "Harvey-Collier": "try transformed predictors, polynomial terms or a local fit", "RESET": "add powers or products of predictors, or transform the response",
+    "Breusch-Pagan": "use weighted least squares or robust standard errors, or transform the response", "White": "use weighted least squares or robust standard errors, or transform the response",
+    "Jarque-Bera": "look for outliers or transform the response; in large samples intervals hold nonetheless", "Shapiro-Wilk": "look for outliers or transform the response; in large samples intervals hold nonetheless",
+    "Anderson-Darling": "look for outliers or transform the response, above all in the tails", "Durbin-Watson": "add lagged terms, difference the series or model the errors", "Breusch-Godfrey": "add lagged terms, difference the series or model the errors",
+}
+
+
 def _result(name: str, statistic: float, p: float, sound: str, unsound: str, **more) -> dict:
     passed = p > ALPHA
-    return {"test_name": name, "statistic": float(statistic), "p_value": float(p), "passed": bool(passed), "interpretation": sound if passed else unsound, **more}
+    guidance = "no action is needed" if passed else GUIDANCE.get(name.split(" ")[0], "look at the residuals")
+    return {"test_name": name, "statistic": float(statistic), "p_value": float(p), "passed": bool(passed), "interpretation": sound if passed else unsound, "guidance": guidance, **more}
+
+
+def both(test, *args, **options) -> dict:
+    """A test's two variants (rainbow, white): results named r and python; one that fails is None. It passes if those that there are do."""
+
+    def one(method: str) -> dict | None:
+        try:
+            return test(*args, **options, method=method)
+        except (ComputationFailed, InsufficientData, SingularMatrix):
+            return None
+
+    found = {"r": one("R"), "python": one("Python")}
+    known = [v for v in found.values() if v]
+    if not known:
+        raise ComputationFailed("neither variant could be computed")
+    return {"test_name": f"{known[0]['test_name'].split(' ')[0]} (both)", "passed": all(v["passed"] for v in known), **found}
 
 
 def _columns(y: str, x: Sequence[str], columns: dict[str, Column] | None) -> dict[str, Column]:
@@ -432,3 +458,10 @@ def influential(rows: DataFrame, measure: Column, threshold: float, order_by: st
     """The numbers (from 1, in order) of the rows whose measure exceeds the threshold in size, a row each."""
     own = number_rows(rows, order_by, {"m": measure}).rows
     return own.where(F.abs("m") > threshold).select(F.col("_t").alias("position"))
+
+
+def influential_terms(rows: DataFrame, terms: Sequence[str], threshold: float, order_by: str) -> DataFrame:
+    """term and position (from 1, in order): a row for each term and each row whose DFBETAS of it exceeds the threshold in size."""
+    own = number_rows(rows, order_by, {"m": F.col("dfbetas")}).rows
+    pairs = F.arrays_zip(F.array(*(F.lit(t) for t in terms)).alias("term"), F.col("m").alias("value"))
+    return own.select("_t", F.inline(pairs)).where(F.abs("value") > threshold).select("term", F.col("_t").alias("position"))

@@ -15,8 +15,8 @@ from statloom.operators.linear import LinearFit, PolynomialFit
 from statloom.operators.loess import LoessFit, fit_points, neighborhood_size, normalize
 from statloom.operators.penalized import PenalizedFit
 from statloom.plans import solve
-from statloom.plans.moments import moments, number
-from statloom.plans.ordered import number_rows
+from statloom.plans.moments import Moments, moments, number
+from statloom.plans.ordered import Ordered, number_rows
 
 
 def standardized_coefficients(df: DataFrame, coefficients: Sequence[float], x: Sequence[str], y_std: float = 1.0, columns: dict[str, Column] | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ class Lcg:
     """64-bit linear congruential generator; the top 53 bits make a double."""
 
     def __init__(self, seed: int):
-        self.state = seed & 0xFFFFFFFFFFFFFFFF
+        self.state = (seed + 1) & 0xFFFFFFFFFFFFFFFF
 
     def next(self) -> float:
         self.state = (self.state * 1664525 + 1013904223) & 0xFFFFFFFFFFFFFFFF
@@ -73,41 +73,65 @@ class Lcg:
         return out
 
 
-def permutation_importance(fit: LinearFit | PenalizedFit, order_by: str, permutations: int = 10, seed: int = 42, refit: bool | None = None, alpha: float = 0.05) -> DataFrame:
-    """variable, importance (mean loss of R squared), std_error and the normal interval.
+#: Rows up to which the sequential generator shuffles.
+SEQUENTIAL = 5000
 
-    A permuted column changes only its products with the others, so each permutation needs sums alone. Rows are numbered once;
-    row t gets the value of row a t + b modulo n, a random a without common factors with n, so a permutation is one join on
-    the number and no sort. Least squares is refitted, penalised fits predict.
+
+def _shuffled_products(table: np.ndarray, permutations: int, rng: Lcg) -> list[np.ndarray]:
+    """For each predictor and permutation, the central products of the shuffled column with all columns; one stream of numbers over all predictors."""
+    d = table - table.mean(axis=0)
+    return [np.stack([d[rng.shuffle(len(d)), j] @ d for _ in range(permutations)]) for j in range(d.shape[1] - 1)]
+
+
+def _moved_products(numbered: Ordered, names: list[str], permutations: int, rng: Lcg) -> list[np.ndarray]:
+    """The same where row t gets the values of row a t + b modulo n, a random a without common factors with n: one join on the number for all permutations, and one aggregate."""
+    rows, n = numbered.rows, numbered.n
+    maps = []
+    for r in range(permutations):
+        while math.gcd(a := 1 + int(rng.next() * (n - 1)), n) > 1:
+            pass
+        maps.append((r, a, int(rng.next() * n)))
+    table = numbered.spark.createDataFrame(maps, "r int, a long, b long")
+    moved = rows.select("_t", *(F.col(v).alias(f"_{v}") for v in names[:-1])).join(F.broadcast(table))
+    kind = "long" if n < 1 << 31 else "decimal(38,0)"  # products of longs would overflow
+    moved = moved.withColumn("_t", (((F.col("_t") - 1).cast(kind) * F.col("a").cast(kind) + F.col("b").cast(kind)) % F.lit(n).cast(kind) + 1).cast("long")).drop("a", "b")
+    sums = rows.join(moved, "_t").groupBy("r").agg(*(F.covar_pop(f"_{v}", w).alias(f"{v}_{w}") for v in names[:-1] for w in names)).collect()
+    by = {s["r"]: s for s in sums}
+    return [np.array([[by[r][f"{v}_{w}"] * n for w in names] for r in range(permutations)]) for v in names[:-1]]
+
+
+def permutation_importance(fit: LinearFit | PenalizedFit, order_by: str, permutations: int = 50, seed: int = 42, refit: bool | None = None, alpha: float = 0.05, sequential: int = SEQUENTIAL) -> DataFrame:
+    """variable, importance (mean loss of R squared), std_error, the normal interval and rank (by importance).
+
+    A permuted column changes only its products with the others, so each permutation needs sums alone. Up to ``sequential`` rows are shuffled by the sequential generator
+    on the driver; more rows are numbered once and moved by random affine maps of their number, all permutations in one join. Least squares is refitted, penalised fits predict.
     """
     refit = isinstance(fit, LinearFit) if refit is None else refit
     x, k = fit.x, len(fit.x)
     names = [f"v{i}" for i in range(k + 1)]
     numbered = number_rows(fit.df, order_by, {n: fit.columns[c] for c, n in zip([*x, fit.y], names, strict=True)})
-    rows, count = numbered.rows, numbered.n
     rng = Lcg(seed)
-
-    def shift() -> tuple[int, int]:
-        while math.gcd(a := 1 + int(rng.next() * max(count - 1, 1)), count) > 1:
-            pass
-        return a, int(rng.next() * count)
-
-    base = moments(rows, {n: F.col(n) for n in names})
+    if numbered.n <= sequential:
+        products = _shuffled_products(np.array([list(r)[1:] for r in numbered.rows.select("_t", *names).orderBy("_t").collect()], float), permutations, rng)
+    else:
+        products = _moved_products(numbered, names, permutations, rng)
+    p = fit.moments.pick([*x, fit.y])
+    base = Moments(names, float(numbered.n), p.mean, p.s, numbered.n)
     coefficients = np.array([0.0 if math.isnan(b) else b for b in fit.coefficients[1:]])
     baseline = 1 - fit.rss / fit.tss
+    z = normal_inverse_cdf(1 - alpha / 2)
     out = []
     for j, name in enumerate(x):
         losses = []
-        for _ in range(permutations):
-            a, b = shift()
-            moved = rows.select((F.pmod((F.col("_t") - 1).cast("decimal(38,0)") * a + b, F.lit(count).cast("decimal(38,0)")) + 1).cast("long").alias("_t"), F.col(f"v{j}").alias("_v"))
-            sums = rows.join(moved, "_t").agg(*(F.covar_pop("_v", n).alias(n) for n in names)).first()
+        for product in products[j]:
             m = base.pick(names)
             m.s = m.s.copy()
-            for i, n in enumerate(names):
-                if i != j:
-                    m.s[i, j] = m.s[j, i] = sums[n] * m.n
+            own = np.arange(k + 1) != j
+            m.s[own, j] = m.s[j, own] = product[own]
             if refit:
+                if solve.near_singular(m, names[:k]):
+                    losses.append(0.0)  # a fit that fails loses nothing but counts
+                    continue
                 s = solve.intercept_solution(m, names[:k], names[k])
                 r2 = 1 - s.rss / s.tss
             else:
@@ -116,24 +140,33 @@ def permutation_importance(fit: LinearFit | PenalizedFit, order_by: str, permuta
             losses.append(baseline - float(r2))
         mean = float(np.mean(losses))
         se = float(np.std(losses, ddof=1) / math.sqrt(len(losses))) if len(losses) > 1 else 0.0
-        z = normal_inverse_cdf(1 - alpha / 2)
         out.append((name, mean, se, mean - z * se, mean + z * se))
-    return fit.df.sparkSession.createDataFrame(out, "variable string, importance double, std_error double, low double, high double")
+    ranks = {r[0]: i + 1 for i, r in enumerate(sorted(out, key=lambda r: (-r[1], r[0])))}
+    return fit.df.sparkSession.createDataFrame([(*r, ranks[r[0]]) for r in out], "variable string, importance double, std_error double, low double, high double, rank int")
+
 
+def observation_contribution(fit: LinearFit | PenalizedFit, order_by: str, key) -> DataFrame:
+    """variable and shap of the row whose ``order_by`` equals the key; no row if there is none."""
+    one = shap_values(fit, fit.df.where(F.col(order_by) == F.lit(key)))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"`shap_{c}`").alias("shap")) for c in fit.x))))
 
-def permutation_importance_loess(spark: SparkSession, fit: LoessFit, names: Sequence[str], permutations: int = 10, seed: int = 42) -> DataFrame:
-    """variable, importance and std_error of a local fit, refitted for each permutation; a fit that fails loses all of R squared. The permutations are spread over the tasks, each with the bounded training points."""
+
+def permutation_importance_loess(spark: SparkSession, fit: LoessFit, names: Sequence[str], permutations: int = 50, seed: int = 42) -> DataFrame:
+    """variable, importance and std_error of a local fit, refitted for each permutation of the sequential generator; a fit that fails loses all of R squared. The permutations are spread over the tasks, each with the bounded training points."""
     x, y, span, degree = fit.train_x, fit.train_y, fit.span, fit.degree
     k = neighborhood_size(span, len(y), degree)
     tss = float(((y - y.mean()) ** 2).sum())
     baseline = 1 - float(((y - fit.fitted) ** 2).sum()) / tss
 
+    rng = Lcg(seed)
+    orders = [[np.array(rng.shuffle(len(y))) for _ in range(permutations)] for _ in range(x.shape[1])]
+
     def losses(frames):
         for frame in frames:
             out = []
             for j, r in zip(frame["j"], frame["r"], strict=True):
                 own = x.copy()
-                own[:, j] = own[np.random.default_rng([seed, int(j), int(r)]).permutation(len(own)), j]
+                own[:, j] = own[orders[j][r], j]
                 own = own if own.shape[1] == 1 else normalize(own)[0]
                 try:
                     loss = baseline - (1 - float(((y - fit_points(own, own, y, k, degree)) ** 2).sum()) / tss)

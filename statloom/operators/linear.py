@@ -200,14 +200,17 @@ def wide_moments(df: DataFrame, columns: dict[str, Column]) -> Moments:
 
 
 def wls(df: DataFrame, y: str, x: Sequence[str], weight: str, columns: dict[str, Column] | None = None, rss: str = "unweighted") -> LinearFit:
-    """Weighted least squares. Residual sums, R squared and F are of unweighted residuals as in the engine this one answers for; ``rss="weighted"`` takes weighted ones."""
+    """Weighted least squares. Residual sums, R squared and F are of unweighted residuals as in the engine this one answers for; ``rss="weighted"`` takes weighted ones.
+
+    Collinear predictors get the solution of least norm (of unit-length terms); residual sums are unweighted then, and every term counts in the degrees of freedom.
+    """
     x = list(x)
     own = {c: (columns or {}).get(c, number(c)) for c in [*x, y]}
     w = (columns or {}).get(weight, number(weight))
     m = weighted_moments(df, own, w)
     need(m.rows, len(x) + 2)
     if solve.near_singular(m, x):
-        raise SingularMatrix("the predictors are collinear")
+        return LinearFit(df, y, x, m, solve.least_norm(m, x, y), own, "WLS", weight)
     s = solve.intercept_solution(m, x, y)
     s.inverse[0, 0] = 1 / m.n + m.pick(x).mean @ s.inverse[1:, 1:] @ m.pick(x).mean
     fit = LinearFit(df, y, x, m, s, own, "WLS", weight if rss == "unweighted" else None)

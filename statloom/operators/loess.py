@@ -1,7 +1,8 @@
 """Local regression. The training points are a parameter of bounded size, as every fit reads all of them; query points are spread over the tasks.
 
-With one predictor, degrees 0 and 1 use the points in sorted order, where neighbourhoods are contiguous. Otherwise the distances to all training points
-are taken a block of queries at a time, on predictors brought to 0 to 1.
+With one predictor, degrees 0 and 1 use the points in sorted order, where neighbourhoods are contiguous and found by bisection, a block of queries at a time.
+Otherwise the distances to all training points are taken for each query, on predictors brought to 0 to 1. A neighbourhood is a share of all points, so a fit reads a number
+of values that grows with the square of the points, which is why they are bounded.
 """
 
 from __future__ import annotations
@@ -75,8 +76,51 @@ def _design(d: np.ndarray, degree: int) -> np.ndarray:
     return np.column_stack(columns)
 
 
+#: Values of neighbourhoods that are held at a time.
+HELD = 2_000_000
+
+
+def _fit_sorted(queries: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, degree: int, robust: np.ndarray | None) -> np.ndarray:
+    """Degrees 0 and 1 of one predictor; NaN where weights don't decide (no bandwidth or no weight)."""
+    order = np.argsort(x, kind="stable")
+    xs, ys, spread = x[order], y[order], float(x.max() - x.min())
+    rs = None if robust is None else robust[order]
+    middle = (xs[: len(xs) - k] + xs[k:]) / 2  # beyond it the next window is nearer
+    first = np.searchsorted(middle, queries, side="left")
+    out = np.empty(len(queries))
+    block = max(1, HELD // k)
+    for s in range(0, len(queries), block):
+        q, at = queries[s : s + block, None], first[s : s + block, None] + np.arange(k)
+        u, v = xs[at], ys[at]
+        d = np.abs(u - q)
+        h = d.max(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = np.where(d > 0.999 * h, 0.0, np.where(d <= 0.001 * h, 1.0, (1 - (d / h) ** 3) ** 3))
+            if rs is not None:
+                w = w * rs[at]
+            total = w.sum(axis=1)
+            level = (w * v).sum(axis=1) / total
+            if degree == 1:
+                mean = (w * u).sum(axis=1) / total
+                away = u - mean[:, None]
+                var = (w * away**2).sum(axis=1) / total
+                level = np.where(np.sqrt(var) <= 0.001 * spread, level, level + (q[:, 0] - mean) * (w * away * v).sum(axis=1) / (total * var))
+        out[s : s + block] = np.where((h[:, 0] > 0) & (total > 0), level, np.nan)
+    return out
+
+
 def fit_points(queries: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, degree: int, robust: np.ndarray | None = None) -> np.ndarray:
     """The local fit at each query; ties in distance go to the earlier training row."""
+    if x.shape[1] == 1 and degree < 2 and len(queries):
+        out = _fit_sorted(queries[:, 0], x[:, 0], y, k, degree, robust)
+        left = np.flatnonzero(np.isnan(out))
+        if len(left):
+            out[left] = _fit_each(queries[left], x, y, k, degree, robust)
+        return out
+    return _fit_each(queries, x, y, k, degree, robust)
+
+
+def _fit_each(queries: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, degree: int, robust: np.ndarray | None) -> np.ndarray:
     out = np.empty(len(queries))
     spread = float(x[:, 0].max() - x[:, 0].min())
     for q, point in enumerate(queries):

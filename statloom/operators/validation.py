@@ -23,7 +23,7 @@ def fisher_yates(n: int, seed: int = 42) -> list[int]:
     out = list(range(n))
     for i in range(n - 1, 0, -1):
         bound = i + 1
-        limit = (1 << 32) - (1 << 32) % bound
+        limit = mask // bound * bound
         while True:
             state = (state * 1103515245 + 12345) & mask
             if state < limit:
@@ -33,14 +33,24 @@ def fisher_yates(n: int, seed: int = 42) -> list[int]:
     return out
 
 
-def with_folds(df: DataFrame, order_by: str, folds: int, shuffle: bool = False, seed: int = 42) -> DataFrame:
-    """A column ``fold`` from 1: contiguous blocks in order, the first ones a row longer. Shuffled: blocks of the order of a seeded hash."""
+#: Rows up to which a sequential generator shuffles.
+SEQUENTIAL = 5000
+
+
+def with_folds(df: DataFrame, order_by: str, folds: int, shuffle: bool = False, seed: int = 42, sequential: int = SEQUENTIAL) -> DataFrame:
+    """A column ``fold`` from 1: contiguous blocks in order, the first ones a row longer. Shuffled: blocks of the sequential generator's order up to ``sequential`` rows, beyond it of the order of a seeded hash, which needs no driver."""
     if folds < 2:
         raise InvalidInput("two folds are needed")
-    key = F.struct(F.xxhash64(F.lit(seed), order_by), F.col(order_by)) if shuffle else order_by
+    few = shuffle and df.limit(sequential + 1).count() <= sequential
+    key = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order_by).cast("string"))), F.col(order_by)) if shuffle and not few else order_by
     numbered = number_rows(df, key, {c: F.col(f"`{c}`") for c in df.columns})
     if numbered.n < folds:
         raise InsufficientData(folds, numbered.n)
+    if few:
+        places = [(i + 1, t + 1) for t, i in enumerate(fisher_yates(numbered.n, seed))]
+        order = numbered.spark.createDataFrame(places, "_t long, _place long")
+        rows = numbered.rows.join(F.broadcast(order), "_t")
+        return rows.select(*(F.col(f"`{c}`") for c in df.columns), blocks(F.col("_place"), numbered.n, folds).alias("fold"))
     return numbered.rows.select(*(F.col(f"`{c}`") for c in df.columns), blocks(F.col("_t"), numbered.n, folds).alias("fold"))
 
 
@@ -53,7 +63,7 @@ def metrics(actual: Column, predicted: Column) -> dict[str, Column]:
     return {"mse": mse, "rmse": F.sqrt(mse), "mae": F.coalesce(F.avg(F.abs(e)), F.lit(0.0)), "r_squared": r2}
 
 
-def cross_validate(df: DataFrame, y: str, x: Sequence[str], order_by: str, folds: int = 5, kind: str = "ols", lam: float = 1.0, alpha: float = 0.5, standardize: bool = True, shuffle: bool = False, seed: int = 42, columns: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def cross_validate(df: DataFrame, y: str, x: Sequence[str], order_by: str, folds: int = 5, kind: str = "ols", lam: float = 1.0, alpha: float = 0.5, standardize: bool = True, shuffle: bool = False, seed: int = 42, columns: dict[str, Column] | None = None, sequential: int = SEQUENTIAL) -> tuple[DataFrame, DataFrame]:
     """A row for each fold (fold, train_size, test_size, mse, rmse, mae, r_squared, train_r_squared), and a row for each fold and term (coefficient).
 
     Two passes: the folds' moments, then all folds' errors at once with each row's own fold's coefficients.
@@ -61,7 +71,7 @@ def cross_validate(df: DataFrame, y: str, x: Sequence[str], order_by: str, folds
     x = list(x)
     own = {c: (columns or {}).get(c, number(c)) for c in [*x, y]}
     rows = df.select(F.col(order_by), *(own[c].alias(f"v{i}") for i, c in enumerate([*x, y])))
-    rows = with_folds(rows, order_by, folds, shuffle, seed)
+    rows = with_folds(rows, order_by, folds, shuffle, seed, sequential)
     named = {c: F.col(f"v{i}") for i, c in enumerate([*x, y])}
     found = rows.groupBy("fold").agg(*moment_columns(named)).collect()  # one row for each fold
     parts = {r["fold"]: from_row(list(named), r) for r in found}

@@ -124,8 +124,8 @@ def triangle(df: DataFrame, columns: dict[str, Column]) -> np.ndarray:
     """R of the tall matrix of the columns by a tree of QR factorisations: each partition keeps its R alone, and a hundred of them become one until few are left."""
     rows = df.select(*(c.alias(f"c{i}") for i, c in enumerate(columns.values())))
     schema = ", ".join(f"c{i} double" for i in range(len(columns)))
+    tasks = rows.rdd.getNumPartitions()  # of the plan; no row is read
     parts = rows.mapInArrow(_r, schema)
-    tasks = parts.select(F.spark_partition_id().alias("p")).distinct().count()
     while tasks > 100:
         tasks = -(-tasks // 100)
         parts = parts.coalesce(tasks).mapInArrow(_r, schema)

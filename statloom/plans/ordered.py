@@ -6,7 +6,10 @@ before, their last values, their sums) is a row for each partition.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,6 +30,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir() + "/statloom-scratch"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone by then
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(delete)
+    return path
+
+
 @dataclass
 class Ordered:
     """``rows``: the columns, _t (from 1) and _p, the partition; n rows in all. ``starts``: rows before each partition."""
@@ -72,10 +93,13 @@ def number_rows(df: DataFrame, order_by: str | Column, columns: dict[str, Column
     key = F.col(order_by) if isinstance(order_by, str) else order_by
     own = df.select(key.alias("_o"), *(c.alias(k) for k, c in columns.items()))
     saved = checkpoint(own.repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_m", F.monotonically_increasing_id()))
-    if unique and saved.groupBy("_o").count().where("count > 1").limit(1).count():  # equal keys share a partition, so nothing is shuffled
-        raise InvalidInput(f"{order_by} does not order the rows uniquely")
     part = F.shiftright("_m", 33)
-    counts = {r["p"]: r["n"] for r in saved.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    # equal keys share a partition, so counting them shuffles nothing; the partitions' sums follow from the same job
+    keys = saved.groupBy("_o").agg(F.count("*").alias("n"), F.min(part).alias("p")) if unique else saved.select(F.lit(1).alias("n"), part.alias("p"))
+    found = keys.groupBy("p").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
+    if any(r["most"] > 1 for r in found):
+        raise InvalidInput(f"{order_by} does not order the rows uniquely")
+    counts = {r["p"]: r["n"] for r in found}
     starts, total = {}, 0
     for p in sorted(counts):
         starts[p], total = total, total + counts[p]

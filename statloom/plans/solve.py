@@ -81,6 +81,21 @@ def intercept_solution(m: Moments, x: list[str], y: str, kept: list[int] | None
     return Solution(b, inverse, kept, max(rss, 0.0), tss, rss > 1e-8 * tss)
 
 
+def least_norm(m: Moments, x: list[str], y: str) -> Solution:
+    """Collinear least squares: of all solutions the one of least norm once terms are scaled to unit length, and the pseudo-inverse, undone likewise."""
+    p = m.pick([*x, y])
+    k = len(x)
+    means = np.r_[1.0, p.mean[:k]]
+    gram = m.n * np.outer(means, means)
+    gram[1:, 1:] += p.s[:k, :k]
+    target = m.n * means * p.mean[k]
+    target[1:] += p.s[:k, k]
+    scales = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    inverse = np.linalg.pinv(gram / np.outer(scales, scales), rcond=1e-11, hermitian=True) / np.outer(scales, scales)
+    b = inverse @ target
+    return Solution(b, inverse, list(range(k + 1)), max(float(p.s[k, k] - b[1:] @ p.s[:k, k]), 0.0), float(p.s[k, k]), False)
+
+
 def ridge_fallback(m: Moments, x: list[str], y: str, penalty: float = 1e-4) -> np.ndarray:
     """Coefficients with the penalty on every term of X'X, the intercept too."""
     p = m.pick([*x, y])

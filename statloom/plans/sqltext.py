@@ -69,3 +69,78 @@ def acklam(p: str) -> str:
     q = f"({p} - 0.5)"
     r = f"({q}*{q})"
     return f"(CASE WHEN {p} < {ACKLAM_TAIL} THEN {tail(p)} WHEN {p} > {1 - ACKLAM_TAIL} THEN -{tail(f'(1 - {p})')} ELSE {q}*{horner(ACKLAM_A, r)}/{horner(ACKLAM_B, r)} END)"
+
+
+def scaled(source: str, x: Sequence[str], by: str = "0", weight: str | None = None, intercept: bool = True, tag: str = "sc") -> str:
+    """CTE of the unit-scale problem of penalised fits, a row for each value of ``by``: n, means m<i>, deviations d<i>, response my and dy, correlations q<i>_<j>, c<i>, and vy, the response's variance."""
+    k = len(x)
+    w = weight or "1.0"
+    every = [*x, "y"]
+    mean = ", ".join(f"sum({w}*{v})/sum({w}) AS a{i}" for i, v in enumerate(every))
+    away = [f"({v} - a{i})" for i, v in enumerate(every)]
+    cov = ", ".join(f"sum({w}*{away[i]}*{away[j]})/sum({w}) AS v{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
+    raw = {(i, j): f"v{i}_{j}" if intercept else f"(v{i}_{j} + a{i}*a{j})" for i in range(k + 1) for j in range(i, k + 1)}
+    own = [f"a{i} AS m{i + 1}, sqrt(v{i}_{i}) AS d{i + 1}" for i in range(k)] + [f"a{k} AS my, sqrt({raw[k, k]}) AS dy, v{k}_{k} AS vy"]
+    own += [f"{raw[i, j]}/sqrt(v{i}_{i}*v{j}_{j}) AS q{i + 1}_{j + 1}" for i in range(k) for j in range(i, k)] + [f"{raw[i, k]}/sqrt(v{i}_{i}*{raw[k, k]}) AS c{i + 1}" for i in range(k)]
+    means = f"{tag}m AS (SELECT {by} AS g, CAST(count(*) AS DOUBLE) AS n, {mean} FROM {source} GROUP BY 1)"
+    covs = f"{tag}v AS (SELECT m.g, any_value(m.n) AS n, {', '.join(f'any_value(a{i}) AS a{i}' for i in range(k + 1))}, {cov} FROM (SELECT *, {by} AS g FROM {source}) AS s JOIN {tag}m AS m ON s.g = m.g GROUP BY m.g)"
+    return f"{means},\n{covs},\n{tag} AS (SELECT g, n, {', '.join(own)} FROM {tag}v)"
+
+
+def descent(k: int, lam: str, alpha: float, sweeps: int, factor: Sequence[float] | None = None, bounds: dict[int, tuple[float, float]] | None = None, source: str = "sc", tag: str = "cd") -> str:
+    """Recursive CTE: cyclic coordinate descent over the rows of ``scaled``; b1.. are the unit-scale coefficients after the sweeps. ``lam`` may name columns."""
+    factor = factor or [1.0] * k
+    inner = f"(SELECT d.i, s.*, {', '.join(f'd.b{j}' for j in range(1, k + 1))} FROM {tag}r AS d JOIN {source} AS s ON d.g = s.g WHERE d.i < {sweeps})"
+    for j in range(1, k + 1):
+        rho = f"c{j}" + "".join(f" - q{min(m, j)}_{max(m, j)}*{'u' if m < j else 'b'}{m}" for m in range(1, k + 1) if m != j)
+        value = f"sign({rho})*greatest(abs({rho}) - ({lam})/dy*{alpha * factor[j - 1]}, 0)/(q{j}_{j} + ({lam})/dy*{(1 - alpha) * factor[j - 1]})"
+        if bounds and j in bounds:
+            value = f"least(greatest({value}, {bounds[j][0]}*d{j}/dy), {bounds[j][1]}*d{j}/dy)"
+        inner = f"(SELECT *, {value} AS u{j} FROM {inner} AS p{j})"
+    start = f"SELECT 0 AS i, g, {', '.join(f'CAST(0 AS DOUBLE) AS b{j}' for j in range(1, k + 1))} FROM {source}"
+    step = f"SELECT i + 1, g, {', '.join(f'u{j}' for j in range(1, k + 1))} FROM {inner} AS p"
+    return f"{tag}r AS ({start} UNION ALL {step}),\n{tag} AS (SELECT s.*, {', '.join(f'b{j}' for j in range(1, k + 1))} FROM {tag}r AS d JOIN {source} AS s ON d.g = s.g WHERE d.i = {sweeps})"
+
+
+def sweep(source: str, k: int, tag: str = "sw") -> str:
+    """Recursive CTE over ``source`` (g, i, j, v), a symmetric matrix of k terms and, as number k + 1, the response, for each g: afterwards v(i, k + 1) are coefficients, v(k + 1, k + 1) is the residual sum and the rest the inverse."""
+    value = "CASE WHEN i = p AND j = p THEN 1/pp WHEN i = p THEN pj/pp WHEN j = p THEN -ip/pp ELSE v - ip*pj/pp END"
+    pivots = f"SELECT *, s + 1 AS p, max(CASE WHEN i = s + 1 AND j = s + 1 THEN v END) OVER (PARTITION BY g) AS pp, max(CASE WHEN i = s + 1 THEN v END) OVER (PARTITION BY g, j) AS pj, max(CASE WHEN j = s + 1 THEN v END) OVER (PARTITION BY g, i) AS ip FROM {tag}r WHERE s < {k}"
+    return f"{tag}r AS (SELECT 0 AS s, g, i, j, CAST(v AS DOUBLE) AS v FROM {source} UNION ALL SELECT s + 1, g, i, j, {value} FROM ({pivots}) AS p),\n{tag} AS (SELECT g, i, j, v FROM {tag}r WHERE s = {k})"
+
+
+def two_tailed(t: str, dof: str) -> str:
+    """p-value of Student's t by the finite sums for whole degrees of freedom."""
+    angle = f"atan(abs({t})/sqrt({dof}))"
+    even = f"sin({angle})*(SELECT sum(exp(lgamma(z.k + 0.5) - lgamma(0.5) - lgamma(z.k + 1) + 2*z.k*ln(cos({angle})))) FROM (SELECT CAST(unnest(range(CAST({dof} AS BIGINT)//2)) AS DOUBLE) AS k) AS z)"
+    odd = f"2/pi()*({angle} + sin({angle})*cos({angle})*coalesce((SELECT sum(exp(lgamma(z.k + 1) + lgamma(1.5) - lgamma(z.k + 1.5) + 2*z.k*ln(cos({angle})))) FROM (SELECT CAST(unnest(range((CAST({dof} AS BIGINT) - 1)//2)) AS DOUBLE) AS k) AS z), 0))"
+    return f"(1 - (CASE WHEN CAST({dof} AS BIGINT) % 2 = 0 THEN {even} ELSE {odd} END))"
+
+
+def sequential_shuffle(n: str, seed: int) -> str:
+    """Recursive CTE ``sh``: list p, the order that the folds' generator (multiplier 1103515245, modulus 2**32, rejection) makes of 0 to n - 1."""
+    draw = "(s*1103515245 + 12345) % 4294967296"
+    fits = f"{draw} < 4294967295//(i + 1)*(i + 1)"
+    j = f"CAST(({draw}) % (i + 1) AS BIGINT)"
+    moved = f"list_transform(p, lambda v, k: CASE WHEN k = i + 1 THEN p[{j} + 1] WHEN k = {j} + 1 THEN p[i + 1] ELSE v END)"
+    return f"shr AS (SELECT CAST({seed} + 1 AS HUGEINT) AS s, CAST({n} - 1 AS BIGINT) AS i, range({n}) AS p UNION ALL SELECT {draw}, CASE WHEN {fits} THEN i - 1 ELSE i END, CASE WHEN {fits} THEN {moved} ELSE p END FROM shr WHERE i > 0),\nsh AS (SELECT p FROM shr WHERE i = 0 ORDER BY s LIMIT 1)"
+
+
+def real_shuffles(n: str, count: int, seed: int) -> str:
+    """Recursive CTE ``sh``: r (from 0) and list p, consecutive orders of 0 to n - 1 that the permutations' generator (multiplier 1664525, modulus 2**64, 53 bits) makes."""
+    draw = "(s*1664525 + 1013904223) % 18446744073709551616"
+    j = f"CAST(floor(CAST(({draw})//2048 AS DOUBLE)/9007199254740992*(i + 1)) AS BIGINT)"
+    moved = f"list_transform(p, lambda v, k: CASE WHEN k = i + 1 THEN p[{j} + 1] WHEN k = {j} + 1 THEN p[i + 1] ELSE v END)"
+    step = f"SELECT {draw}, CASE WHEN i = 1 THEN {n} - 1 ELSE i - 1 END, CASE WHEN i = 1 THEN r + 1 ELSE r END, {moved}, i = 1"
+    # a finished order is handed on as it is and the next one starts from 0 to n - 1
+    fresh = f"(SELECT s, i, r, CASE WHEN done THEN range({n}) ELSE p END AS p FROM shr WHERE r < {count})"
+    return f"shr AS (SELECT CAST({seed} + 1 AS HUGEINT) AS s, CAST({n} - 1 AS BIGINT) AS i, 0 AS r, range({n}) AS p, false AS done UNION ALL {step} FROM {fresh} AS f),\nsh AS (SELECT r - 1 AS r, p FROM shr WHERE done)"
+
+
+def affine_maps(n: str, count: int, seed: int) -> str:
+    """Recursive CTE ``am``: r (from 0), a and b of the permutations of many rows: numbers of the same generator, a drawn until it has no common factor with n, then b."""
+    draw = "(s*1664525 + 1013904223) % 18446744073709551616"
+    real = f"CAST(({draw})//2048 AS DOUBLE)/9007199254740992"
+    a = f"(1 + CAST(floor({real}*({n} - 1)) AS BIGINT))"
+    step = f"SELECT {draw}, CASE WHEN a IS NULL THEN r ELSE r + 1 END, CASE WHEN a IS NULL AND gcd({a}, {n}) = 1 THEN {a} END, CASE WHEN a IS NOT NULL THEN a END, CASE WHEN a IS NOT NULL THEN CAST(floor({real}*{n}) AS BIGINT) END FROM amr WHERE r < {count}"
+    return f"amr AS (SELECT CAST({seed} + 1 AS HUGEINT) AS s, 0 AS r, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS ua, CAST(NULL AS BIGINT) AS ub UNION ALL {step}),\nam AS (SELECT r - 1 AS r, ua AS a, ub AS b FROM amr WHERE ub IS NOT NULL)"

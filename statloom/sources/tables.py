@@ -47,13 +47,16 @@ def _table(rows: DataFrame, names: list[str]) -> CsvTable:
     return CsvTable(data, names, numeric_columns(data, names))
 
 
-def read_csv(spark: SparkSession, path: str) -> CsvTable:
-    """A file or folder of CSV files with a header each. Cells are trimmed; rows with another number of fields than the header are left out, as are empty lines."""
+def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> CsvTable:
+    """A file or folder of CSV files with a header each. Cells are trimmed; rows with another number of fields than the header are left out, as are empty lines.
+
+    Files are split among tasks. Cells with line ends in quotes need ``multiline``, which makes a file one task's.
+    """
     head = spark.read.text(path).where(F.length(F.trim("value")) > 0).first()
     if head is None:
         raise ParseError("there is no header")
     names = [c.strip() for c in _cells(spark, head[0])]
-    wide = spark.read.csv(path, header=True, schema=", ".join(f"c{i} string" for i in range(len(names) + 1)) + ", _bad string", columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=True, escape='"', nullValue="\u0000", emptyValue="")
+    wide = spark.read.csv(path, header=True, schema=", ".join(f"c{i} string" for i in range(len(names) + 1)) + ", _bad string", columnNameOfCorruptRecord="_bad", mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=multiline, escape='"', nullValue="\u0000", emptyValue="")
     n = len(names)
     # a field too many has a value in the extra column, one too few leaves the last one null
     kept = wide.where(F.col(f"c{n}").isNull() & F.col(f"c{n - 1}").isNotNull())

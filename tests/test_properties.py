@@ -153,6 +153,11 @@ def test_cross_validation(noise):
     assert V.summarize(folds).first()["n_samples"] == 400
     assert V.most_stable(terms).count() == 1
     assert sorted(V.fisher_yates(50)) == list(range(50)) and V.fisher_yates(50) != list(range(50)) and V.fisher_yates(50) == V.fisher_yates(50)
+    # few rows fall into the folds of the sequential generator's order
+    order = V.fisher_yates(400, 7)
+    folds = {r["i"]: r["fold"] for r in V.with_folds(noise, "i", 5, True, 7).collect()}
+    assert folds == {i: 1 + place // 80 for place, i in enumerate(order)}
+    assert {r["fold"]: r["count"] for r in V.with_folds(noise, "i", 5, True, 7, sequential=0).groupBy("fold").count().collect()} == dict.fromkeys(range(1, 6), 80)
     sizes = [r["count"] for r in V.with_folds(noise, "i", 7).groupBy("fold").count().orderBy("fold").collect()]
     assert sizes == [58] + [57] * 6
     with pytest.raises(InvalidInput):
@@ -170,6 +175,23 @@ def test_importance(noise):
     again = {r["variable"]: r["importance"] for r in I.permutation_importance(fit, "i", 5).collect()}
     assert found == pytest.approx(again, rel=1e-9)
     assert sorted(I.Lcg(42).shuffle(30)) == list(range(30))
+    # the stream's shuffles, refitted one by one
+    x, y = arrays(noise, NAMES)
+    rng, tss = I.Lcg(42), ((y - y.mean()) ** 2).sum()
+
+    def rss(own):
+        design = np.column_stack([np.ones(len(y)), own])
+        return ((y - design @ np.linalg.lstsq(design, y, rcond=None)[0]) ** 2).sum()
+
+    for j, name in enumerate(NAMES):
+        losses = []
+        for _ in range(5):
+            own = x.copy()
+            own[:, j] = own[rng.shuffle(len(y)), j]
+            losses.append((rss(own) - rss(x)) / tss)
+        assert found[name] == pytest.approx(np.mean(losses), abs=1e-9)
+    many = {r["variable"]: r["importance"] for r in I.permutation_importance(fit, "i", 20, sequential=0).collect()}
+    assert all(abs(many[k] - found[k]) < 0.15 * max(abs(found[k]), 0.02) for k in found)
     ranks = [r["vif"] for r in I.vif_ranking(noise, NAMES).orderBy("rank").collect()]
     assert ranks == sorted(ranks)
 
@@ -244,6 +266,56 @@ def test_describe_edges(spark):
     assert tuple(D.mode(odd, "v").first()) == ([1.0, 3.0], 2, 2)
 
 
+def test_order_statistics(spark, monkeypatch):
+    """Ranks selected by rounds of brackets, with ties, NaN, infinities and values of all magnitudes."""
+    rng = np.random.default_rng(3)
+    tables_ = [rng.normal(size=5000), np.repeat([1.0, 2.0, 7.0], [4000, 3, 900]), np.exp(rng.uniform(-600, 600, 4000)) * rng.choice([-1, 1], 4000), np.array([5.0]), np.full(3000, 2.5), np.r_[rng.normal(size=50), [math.inf, -math.inf, 0.0, -0.0]]]
+    monkeypatch.setattr(D, "SELECT", 20)
+    monkeypatch.setattr(D, "ACCURACY", 50)
+    for v in tables_:
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(3)
+        ranks = sorted({0, len(v) // 3, len(v) // 2, len(v) - 1, *(int(r) for r in rng.integers(0, len(v), 4))})
+        assert D.order_statistics(df, "v", ranks) == [np.sort(v)[r] for r in ranks]
+    df = spark.createDataFrame([(float(x),) for x in tables_[0]], "v double")
+    assert D.quantiles(df, "v", (0.0, 0.3, 0.77, 1.0, 2.0))[:4] == pytest.approx(list(np.quantile(tables_[0], (0.0, 0.3, 0.77, 1.0))))
+    assert all(math.isnan(x) for x in D.quantiles(df.limit(0), "v", (0.0, 0.5)))
+    with_nan = spark.createDataFrame([(1.0,), (float("nan"),), (0.0,)], "v double")
+    assert D.order_statistics(with_nan, "v", [0, 1]) == [0.0, 1.0] and math.isnan(D.order_statistics(with_nan, "v", [2])[0])
+
+
+def test_sorted_local_fits_equal_single_ones():
+    """The windows of sorted points give what each point's own neighbourhood gives, ties and duplicates included."""
+    from statloom.operators import loess as LO
+
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=300), rng.integers(0, 40, 300).astype(float), np.repeat(rng.normal(size=30), 10)):
+        y, robust = rng.normal(size=300) + values, rng.choice([0.0, 0.5, 1.0], 300)
+        x, q = values[:, None], np.r_[values[::7], rng.normal(size=20)][:, None]
+        for k in (5, 60, 300):
+            for degree in (0, 1):
+                for r in (None, robust):
+                    assert np.allclose(LO.fit_points(q, x, y, k, degree, r), LO._fit_each(q, x, y, k, degree, r), atol=1e-9)
+
+
+def test_collinear_weighted_fit(spark, noise):
+    """The solution of least norm of unit-length terms predicts as the fit without the repeated predictor."""
+    df = noise.withColumn("twice", 2 * F.col("a") + F.col("b"))
+    plain, fit = L.wls(noise, "y", NAMES, "w"), L.wls(df, "y", [*NAMES, "twice"], "w")
+    x, y = arrays(df, [*NAMES, "twice"])
+    w = np.array([r["w"] for r in df.orderBy("i").collect()])
+    design = np.column_stack([np.ones(len(y)), x]) * np.sqrt(w)[:, None]
+    scales = np.linalg.norm(design, axis=0)
+    b = np.linalg.lstsq(design / scales, y * np.sqrt(w), rcond=1e-10)[0] / scales
+    assert fit.coefficients == pytest.approx(list(b), rel=1e-5, abs=1e-7)
+    assert fit.r_squared == pytest.approx(plain.r_squared, rel=1e-8) and all(math.isfinite(r["std_error"]) for r in fit.inference())
+
+
+def test_both_variants_and_guidance(noise):
+    found = X.both(X.white, noise, "y", NAMES)
+    assert found["r"]["statistic"] == X.white(noise, "y", NAMES, "R")["statistic"] and found["python"]["statistic"] == X.white(noise, "y", NAMES, "Python")["statistic"]
+    assert found["passed"] == (found["r"]["passed"] and found["python"]["passed"]) and found["r"]["guidance"]
+
+
 def test_csv(spark, tmp_path):
     text = "a, b ,name\n1, 2.5,x\n 3,nan,y\n4,5\n6,7,z,w\n8,inf,\"q, r\"\n"
     t = tables.parse_csv(spark, text)
