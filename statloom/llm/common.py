@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space is the only separator; bytes.split() splits at just these bytes.
@@ -24,7 +26,7 @@ class Scratch:
     """Parquet tables in the shared folder of ``spark.checkpoint.dir``; they cut lineage and survive lost executors.
 
     Only where the setting is absent (tests, one machine) a temporary folder is set.
-    ``drop`` deletes a table once nothing reads it any more.
+    ``drop`` deletes a table once nothing reads it any more; results may be read as long as the driver lives, so the rest goes when it ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -39,6 +41,7 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        atexit.register(self._delete, self.root, True)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it again."""
@@ -50,12 +53,14 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
             if found := self.paths.pop(id(t), None):
-                p = jvm.org.apache.hadoop.fs.Path(found[1])
-                p.getFileSystem(conf).delete(p, True)
+                self._delete(found[1])
+
+    def _delete(self, path: str, ending: bool = False) -> None:
+        with contextlib.suppress(Exception) if ending else contextlib.nullcontext():  # the JVM may be gone by then
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -68,6 +73,13 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def hash_share(share: float, *columns: str | Column) -> Column:
+    """Whether a row's 64-bit hash is among the least share of all hashes; exact to 2**-64, so a bounded number of however many rows can be chosen."""
+    if share >= 1.0:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(int(share * 2**64) - 2**63).cast("long")
+
+
 class WordHashes(dict):
     """Word bytes -> 64-bit hash, bounded by ``CACHE_WORDS``."""
 

@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.common import CACHE_WORDS, Scratch, slices, texts
+from statloom.llm.common import CACHE_WORDS, Scratch, hash_share, slices, texts
 from statloom.llm.rules import feature, text_stats
 
 BUCKETS = 1 << 15
-#: Documents that the scorer learns from, on average at most: those of the least id hashes.
-SAMPLE = 12_000
+#: Documents that the scorer learns from, on average at most: those of the least id hashes; fewer if their words are more than SAMPLE_WORDS.
+SAMPLE, SAMPLE_WORDS = 12_000, 40_000_000
 
 
 def labellers() -> dict[str, Column]:
@@ -161,9 +161,9 @@ def classify(spark: SparkSession, docs: DataFrame, most: int = SAMPLE, at_least:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     votes = labellers()
     letters = F.concat(*(F.when(v == 1, "g").when(v == 0, "b").otherwise("-") for v in votes.values()))
-    judged = text_stats(rows).withColumn("pattern", letters).select("doc_id", "text", "pattern")
-    scored_later = scratch.save(judged.select("doc_id", "pattern"))
-    patterns = scored_later.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 to the number of labellers
+    judged = text_stats(rows).withColumn("pattern", letters).select("doc_id", "text", "pattern", "n_words")
+    scored_later = scratch.save(judged.select("doc_id", "pattern", "n_words"))
+    patterns = scored_later.groupBy("pattern").agg(F.count("*").alias("count"), F.sum("n_words").alias("words")).orderBy("pattern").collect()  # at most 3 to the number of labellers
     if not patterns:
         return scored_later.select("doc_id", "pattern", F.lit(0.0).alias("weak"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     table = np.array([["b-g".index(c) for c in r["pattern"]] for r in patterns])
@@ -171,11 +171,10 @@ def classify(spark: SparkSession, docs: DataFrame, most: int = SAMPLE, at_least:
     counts = np.array([r["count"] for r in patterns], float)
     model = estimate(table, counts)
     weak = {r["pattern"]: float(p) for r, p in zip(patterns, model.posterior(table), strict=True)}
-    share = min(1.0, most / counts.sum())
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("weak")), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    chosen = rows.where(hash_share(min(most / counts.sum(), SAMPLE_WORDS / max(1, sum(r["words"] for r in patterns))), "doc_id", F.lit("weak")))
     sample = text_stats(chosen).withColumn("pattern", letters).select("doc_id", "text", "pattern").mapInArrow(_features, "doc_id long, pattern string, at binary, weight binary").orderBy("doc_id", "at").toPandas()
     x = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(sample["at"], sample["weight"], strict=True)]
     w, b = logistic(x, np.array([weak[p] for p in sample["pattern"]]))
     chances = spark.createDataFrame([(k, v) for k, v in weak.items()], "pattern string, weak double")
-    out = judged.mapInArrow(_score(w, b), "doc_id long, pattern string, score double").join(F.broadcast(chances), "pattern")
+    out = judged.drop("n_words").mapInArrow(_score(w, b), "doc_id long, pattern string, score double").join(F.broadcast(chances), "pattern")
     return out.select("doc_id", "pattern", F.round("weak", 6).alias("weak"), F.round("score", 6).alias("score"), ((F.col("weak") + F.col("score")) / 2 >= at_least).alias("kept"))
