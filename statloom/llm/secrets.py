@@ -28,6 +28,8 @@ CANDIDATE = (
 #: A text without any of these holds no candidate; cheaper than the full pattern.
 HINT = "[0-9=:]|PRIVATE KEY"
 AROUND = 48
+#: Entries that a fold takes at a time.
+RUN = 256
 #: Words that make up names and placeholders but not secrets. Fixed values.
 WORDS = (
     "example|sample|test|dummy|fake|placeholder|changeme|change|your|insert|here|xxxx|abcd|1234|none|null|undefined|default|password|passwd|secret|token|key|"
@@ -43,16 +45,27 @@ SEED = 6
 BROADCAST_ROWS = 200_000
 
 
+def running(steps: str) -> Column:
+    """Running sums of an array of ints. A fold appends by copying, so it goes over blocks of RUN entries and then over the blocks' sums: n to the power 1.5 instead of 2, and linear up to RUN squared."""
+
+    def fold(values: Column, start: Column) -> Column:
+        sums = F.aggregate(values, F.array(start).cast("array<int>"), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+        return F.slice(sums, F.lit(2), F.size(values))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(RUN)), lambda at: F.slice(F.col(steps), at + 1, F.lit(RUN)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+    before = F.concat(F.array(F.lit(0)), fold(totals, F.lit(0)))
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("own"), F.slice(before, F.lit(1), F.size(blocks)).alias("start")), lambda b: fold(b["own"], b["start"])))
+
+
 def candidates(docs: DataFrame, text: str, keep: list[str], path: Column | None = None) -> DataFrame:
     """The kept columns and, for every candidate in the text: start (characters before it), value, before, after and path."""
     t = F.col(text)
     found = docs.select(*keep, t.alias("_text"), (path if path is not None else F.lit("")).cast("string").alias("path")).where(t.rlike(HINT)).where(F.col("_text").rlike(CANDIDATE))
     both = found.withColumn("_hits", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).withColumn("_gaps", F.split("_text", CANDIDATE, -1))
     # gap i comes before hit i; a running sum of lengths gives the starts
-    starts = F.aggregate(
-        F.sequence(F.lit(0), F.size("_hits") - 1), F.array().cast("array<int>"),
-        lambda done, i: F.concat(done, F.array(F.when(i == 0, F.length(F.get("_gaps", i))).otherwise(F.get(done, i - 1) + F.length(F.get("_hits", i - 1)) + F.length(F.get("_gaps", i))))),
-    )
+    both = both.withColumn("_steps", F.transform("_hits", lambda h, i: F.length(F.get("_gaps", i)) + F.when(i == 0, 0).otherwise(F.length(F.get("_hits", i - 1)))))
+    starts = running("_steps")
     rows = F.transform(
         F.arrays_zip(starts.alias("start"), F.col("_hits").alias("value")),
         lambda x, i: F.struct(
@@ -197,7 +210,9 @@ def labelled(spark: SparkSession, rows: int = 6000) -> DataFrame:
         at = F.pmod("id", F.lit(len(cases))) == i
         made = F.when(at, text) if made is None else made.when(at, text)
         label = F.when(at, y) if label is None else label.when(at, y)
-    path = F.when(label == 0, pick("y", "src0", "tests/test_api.py", "docs/readme", "src3", "vendor/pkg.lock")).otherwise(pick("z", "src0", "src1", "app/settings.py", "src2", "deploy/env"))
+    # secrets are rarer in tests and documents, but are there too, so a path alone decides nothing
+    ordinary, doubtful = pick("y", "src0", "src1", "app/settings.py", "src2", "deploy/env", "src3"), pick("z", "tests/test_api.py", "docs/readme", "vendor/pkg.lock")
+    path = F.when(F.pmod(F.xxhash64(F.lit("path"), "id"), F.lit(8)) < F.when(label == 0, 3).otherwise(1), doubtful).otherwise(ordinary)
     return r.select("id", F.concat_ws(" ", words, made, more).alias("text"), path.alias("path"), label.cast("int").alias("label"))
 
 
