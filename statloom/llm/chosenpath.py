@@ -46,8 +46,8 @@ CHUNK = 64
 SHINGLES = 200_000
 #: Shingles of full sets that a part holds, and sets up to which a node is not branched for its shingles.
 HELD_SHINGLES, FEW = 20_000_000, 64
-#: Rows of a side that is broadcast at most (24 bytes each).
-BROADCAST_ROWS = 500_000
+#: Bytes of a side that is broadcast at most.
+BROADCAST_BYTES = 12_000_000
 #: Bytes of a hashed shingle that are kept for verification.
 KEPT = 6
 
@@ -419,9 +419,9 @@ class ChosenPath:
         self.spark, self.k, self.threshold, self.small, self.shape = spark, k, threshold, small, shape(threshold, recall)
         self.scratch = Scratch(spark, "near")
 
-    def light(self, table: DataFrame) -> DataFrame:
-        """A written table, to be broadcast up to a size."""
-        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    def light(self, table: DataFrame, width: int = 24) -> DataFrame:
+        """The table, to be broadcast if its rows of that many bytes are few."""
+        return F.broadcast(table) if width * table.count() <= BROADCAST_BYTES else table
 
     def only(self, table: DataFrame, rids: DataFrame) -> DataFrame:
         """The table's rows of some sets, so that what follows shuffles no others. Their numbers are broadcast up to a size, beyond it joined."""
@@ -433,7 +433,7 @@ class ChosenPath:
         teams = pairs.join(count, "a").withColumn("team", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / CHUNK)))
         leads = teams.select("a", "team", F.lit(True).alias("lead"), F.col("a").alias("rid")).distinct()
         need = self.scratch.save(teams.select("a", "team", F.lit(False).alias("lead"), F.col("b").alias("rid")).union(leads))
-        rows = sets.join(self.light(need), "rid")
+        rows = sets.join(self.light(need, 32), "rid")
         rows = rows.select("a", "team", "lead", "rid", "members").repartition("a", "team").sortWithinPartitions("a", "team", F.col("lead").desc())
         links = self.scratch.save(rows.mapInArrow(_verify(self.threshold), "u long, v long"))
         self.scratch.drop(need)
@@ -462,7 +462,7 @@ class ChosenPath:
         branch = (other > self.small) | ((others > HELD_SHINGLES) & (other > FEW))
         parts = F.greatest(F.ceil(F.col("top.of") / self.small), F.ceil(F.col("top.shingles") / HELD_SHINGLES), F.lit(1))
         mixed = self.scratch.save(sums.select("node", "size", other.alias("other"), F.col("top.label").alias("main"), branch.alias("branch"), parts.alias("parts")))
-        found = nodes.join(self.light(mixed), "node")
+        found = nodes.join(self.light(mixed, 48), "node")
         return found.withColumn("last", F.col("label") == F.col("main")).drop("main")
 
     def dealt(self, found: DataFrame) -> DataFrame:
@@ -531,8 +531,27 @@ class ChosenPath:
         else:
             classes = classes.withColumn("label", F.col("rid"))
         least = scratch.save(classes.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "rid")).getField("rid").alias("first_rid")))
-        known = scratch.save(classes.join(self.light(least), "label").select("digest", "component_id", "first_rid"))
+        known = scratch.save(classes.join(self.light(least, 40), "label").select("digest", "component_id", "first_rid"))
         # empty sets need no partner and would all meet in one task
         alone = light.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
-        joined = light.where("n > 0").join(self.light(known), "digest")
+        joined = light.where("n > 0").join(self.light(known, 64), "digest")
         return joined.select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("first_rid")).alias("first")).union(alone)
+
+
+def near_sql(k: int = 2, hundred: int = 80) -> str:
+    """The same over ``documents`` by comparing all sets that share a shingle, for DuckDB and small tables."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{letters}', '{letters.lower()}'), '[^\\x20\\x09-\\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k - 1}, least(len(w), 1)) + 1)) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS s FROM p),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '  ' ORDER BY s)) AS same FROM s GROUP BY doc_id),
+r AS (SELECT same, min(doc_id) AS doc_id, any_value(n) AS n FROM n GROUP BY same),
+o AS (SELECT s.doc_id, s, n FROM s JOIN r ON s.doc_id = r.doc_id),
+b AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m FROM o AS a JOIN o AS b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {hundred} * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT u, v FROM b WHERE 100 * shared >= {hundred} * (n + m - shared)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+c AS (SELECT doc_id AS a, doc_id AS z FROM r UNION SELECT c.a, e.v FROM c JOIN e ON c.z = e.u),
+f AS (SELECT a, min(z) AS component_id FROM c GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(f.component_id, d.doc_id) AS component_id, coalesce(f.component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON n.same = r.same LEFT JOIN f ON r.doc_id = f.a"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.llm.chosenpath import near_sql
 from statloom.llm.mixing import mix_sql
 from statloom.llm.substring import repeats_sql
 
@@ -92,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": repeats_sql(), "op8_mix_sources": mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_substring_dedup": repeats_sql(), "op8_mix_sources": mix_sql(), "op10_minhash_near_dedup": near_sql()}

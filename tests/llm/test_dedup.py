@@ -40,6 +40,19 @@ def test_near_copies(spark, docs, small_docs, k):
     assert found == brute(small_docs, k)
 
 
+def test_near_sql(small_docs):
+    """The SQL that the query is held against finds brute force's groups."""
+    import duckdb
+
+    from statloom.llm.chosenpath import near_sql
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", small_docs)
+    rows = c.execute(near_sql()).fetchall()
+    assert {r[0]: r[1:3] for r in rows} == brute(small_docs, 2) and all(r[3] == (r[0] == r[2]) for r in rows)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.9])
 def test_other_thresholds(spark, docs, small_docs, threshold):
     """Trees and branches follow the threshold."""
