@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2000
-#: Words kept in a worker's hash cache before it starts anew.
-CACHE_WORDS = 150_000
+#: Words kept in a worker's hash cache before it starts anew, and bytes up to which one is kept.
+CACHE_WORDS, CACHE_LONG = 150_000, 200
 
 
 class Scratch:
@@ -81,12 +81,14 @@ def hash_share(share: float, *columns: str | Column) -> Column:
 
 
 class WordHashes(dict):
-    """Word bytes -> 64-bit hash, bounded by ``CACHE_WORDS``."""
+    """Word bytes -> 64-bit hash, bounded by ``CACHE_WORDS`` words of ``CACHE_LONG`` bytes."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_LONG:
+            self[word] = value
         return value
 
 

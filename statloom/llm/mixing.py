@@ -4,7 +4,7 @@ Every document has a 60-bit hash of its id. A source takes some whole passes ove
 threshold once more. The threshold is found without sorting documents: word counts are summed by source and the first 12
 bits of the hash; where the running sum crosses the budget, only that bucket is summed by its next 12 bits, and so on. A larger
 budget only raises the threshold, so mixes of one seed are nested. All of it is DataFrame operations; what windows sort are
-at most 4096 sums of a source.
+at most 4096 sums of a source, and for the targets one row for each source, in one task: about 100 bytes each, so up to some tens of millions of sources.
 """
 
 from __future__ import annotations

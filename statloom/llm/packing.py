@@ -29,6 +29,8 @@ from statloom.llm.common import Scratch, slices, texts, with_row_id
 BLOCK = 100_000
 #: Chunks that a worker's cache holds before it starts anew, about 200 bytes each.
 CACHE_CHUNKS = 450_000
+#: Bytes up to which a chunk is kept after its texts are done.
+CACHE_LONG = 300
 #: Characters of text that are encoded together.
 SHARE = 1_500_000
 
@@ -111,7 +113,11 @@ class _Chunks:
             self.known.clear()
             new = set().union(*(p for p in parts if p))
         self.learn(new)
-        return [self.ids(d).tobytes() if p is None else b"".join(map(self.known.__getitem__, p)) for d, p in zip(docs, parts, strict=True)]
+        out = [self.ids(d).tobytes() if p is None else b"".join(map(self.known.__getitem__, p)) for d, p in zip(docs, parts, strict=True)]
+        for c in new:
+            if len(c) > CACHE_LONG:
+                del self.known[c]
+        return out
 
 
 @functools.cache

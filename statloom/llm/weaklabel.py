@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.common import CACHE_WORDS, Scratch, hash_share, slices, texts
+from statloom.llm.common import CACHE_LONG, CACHE_WORDS, Scratch, hash_share, slices, texts
 from statloom.llm.rules import feature, text_stats
 
 BUCKETS = 1 << 15
@@ -88,7 +88,9 @@ class _Buckets(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         shape = b"~" + _RUN.sub(rb"\1\1", word.translate(_SHAPE))
-        value = self[word] = (xxhash.xxh3_64_intdigest(word) % BUCKETS) << 32 | xxhash.xxh3_64_intdigest(shape) % BUCKETS
+        value = (xxhash.xxh3_64_intdigest(word) % BUCKETS) << 32 | xxhash.xxh3_64_intdigest(shape) % BUCKETS
+        if len(word) <= CACHE_LONG:
+            self[word] = value
         return value
 
 

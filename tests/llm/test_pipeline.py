@@ -41,6 +41,17 @@ def test_each_stage(spark, folder):
     now = {r["doc_id"]: r for r in clean.collect()}
     assert now.keys() == was.keys()
     changed = [i for i in now if now[i]["text"] != was[i]]
+    from pyspark.sql import functions as F
+
+    from statloom.llm import secrets
+
+    cuts: dict = {}
+    for r in secrets.scan(single, secrets.train(secrets.labelled(spark)), ["doc_id"], path=F.col("source")).where("secret").collect():
+        cuts.setdefault(r["doc_id"], []).append((r["start"], len(r["value"])))
+    for i, text in was.items():
+        for start, n in sorted(cuts.get(i, []), reverse=True):
+            text = text[:start] + "[SECRET]" + text[start + n :]
+        assert now[i]["text"] == text
     assert changed and all("[SECRET]" in now[i]["text"] and now[i]["n_chars"] == len(now[i]["text"]) for i in changed)
     assert not any('token = "' in now[i]["text"] and "[SECRET]" not in now[i]["text"] for i in now)
 
@@ -56,6 +67,16 @@ def test_each_stage(spark, folder):
 
     pieces = P.pack(spark, mixed, folder).collect()
     assert {r["rid"] for r in pieces}.__len__() == mixed.count()
+    from tokenizers import Tokenizer
+
+    from statloom.llm.queries import tokenizer_file
+
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    lengths = {i: len(t.encode(now[i]["text"] or "", add_special_tokens=False).ids) + 1 for i in seen}
+    packed: dict = {}
+    for r in pieces:
+        packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
+    assert packed == {i: n * lengths[i] for i, n in seen.items()}
     size: dict = {}
     for r in pieces:
         size[r["sequence_id"]] = size.get(r["sequence_id"], 0) + r["length"]
