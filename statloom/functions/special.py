@@ -295,4 +295,7 @@ def register(spark: SparkSession) -> list[str]:
     names = {**SQL_FUNCTIONS, "get_t_critical": get_t_critical}
     for name, f in names.items():
         spark.udf.register(name, arrow(f))
-    return sorted(names)
+    from statloom.sources.models import LIBRARY_VERSION
+
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION get_version() RETURNS STRING RETURN '{LIBRARY_VERSION}'")
+    return sorted([*names, "get_version"])

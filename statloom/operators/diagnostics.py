@@ -348,7 +348,7 @@ def anderson_darling_p(a: float, n: int) -> float:
 
 
 def anderson_darling(df: DataFrame, y: str, x: Sequence[str], columns: dict[str, Column] | None = None) -> dict:
-    """The raw statistic; its p-value from the adjusted one. Needs 8 values. Ranks in both directions come from one sort and the count."""
+    """The raw statistic; its p-value from the adjusted one. Needs 8 values. Ranks in both directions come from one sort and the count; the order of equal values does not matter, so they are spread by a number of their own."""
     rows = residuals(df, y, x, columns)[0] if x else df.select(_columns(y, x, columns)[y].alias("e"))
     n, mid, sd = rows.agg(F.count("*"), F.avg("e"), F.stddev_samp("e")).first()
     need(n, 8)
@@ -357,7 +357,7 @@ def anderson_darling(df: DataFrame, y: str, x: Sequence[str], columns: dict[str,
     z = (F.col("e") - F.lit(float(mid))) / F.lit(float(sd))
     # the i-th value's lower tail has weight 2i - 1, and its upper tail that of the mirrored place
     low, high = (F.log(F.greatest(special.normal_cdf_col(c), F.lit(1e-300))) for c in (F.col("z"), -F.col("z")))
-    ranked = number_rows(rows, z, {"z": z}, unique=False).rows
+    ranked = number_rows(rows, F.struct(z.alias("z"), F.monotonically_increasing_id().alias("i")), {"z": z}, unique=False).rows
     total = ranked.agg(F.sum((2 * F.col("_t") - 1) * low + (2 * (n - F.col("_t")) + 1) * high)).first()[0]
     a = -n - total / n
     return _result("Anderson-Darling", a, anderson_darling_p(a, n), "the residuals are normal", "the residuals are not normal", n=int(n))

@@ -994,6 +994,12 @@ def sf_14_sql_functions(spark, sf_dir):
     return _arg(spark, sf_dir).selectExpr("event_id", "round(get_t_cdf((u - 0.5) * 12, 1.0D), 9) AS p")
 
 
+@query("SELECT '0.1.0' AS version")
+def sf_14_version(spark, sf_dir):
+    S.register(spark)
+    return spark.sql("SELECT get_version() AS version")
+
+
 # ---- models (IO) and streams
 
 

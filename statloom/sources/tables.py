@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.errors import ParseError
+from statloom.plans.ordered import number_rows
 
 
 @dataclass
@@ -87,9 +88,8 @@ def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def category_codes(df: DataFrame, column: str, start: int = 1) -> DataFrame:
-    """The column replaced by the rank of its value among the sorted values, from ``start``."""
+    """The column replaced by the rank of its value among the sorted values, from ``start``. The values are numbered over range partitions."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    from pyspark.sql import Window
-
-    coded = values.withColumn("_code", (F.row_number().over(Window.orderBy(column)) + (start - 1)).cast("double"))
-    return df.join(F.broadcast(coded) if values.count() <= 10_000 else coded, column, "left").withColumn(column, F.col("_code")).drop("_code")
+    numbered = number_rows(values, column, {column: F.col(f"`{column}`")})
+    coded = numbered.rows.select(F.col(f"`{column}`"), (F.col("_t") + (start - 1)).cast("double").alias("_code"))
+    return df.join(F.broadcast(coded) if numbered.n <= 10_000 else coded, column, "left").withColumn(column, F.col("_code")).drop("_code")
