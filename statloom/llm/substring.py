@@ -31,6 +31,8 @@ RANGE = 1_500_000
 DIRECT = 2048
 #: Entries of a group of ranges that are dealt to its ranges together.
 REGROUPED = 4_000_000
+#: Known repeats of an array.
+KNOWN = 50_000
 #: Bytes of intervals that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 #: A null doc_id sorts after every other.
@@ -163,8 +165,9 @@ def _windows(width: int, ranges: int, group: int, tagged: bool):
                     lead = by[np.flatnonzero(first)][np.cumsum(first) - 1]
                     later = ~first & ((ids[doc[by]] != ids[doc[lead]]) | (place[by] > place[lead]))
                     if later.any():
-                        at = np.sort(by[later])
-                        yield _rows([_blob(_anywhere(int(ids[doc[at[0]]]), int(place[at[0]]), groups), 1, doc[at], place[at], ids, tags)])
+                        every = np.sort(by[later])
+                        for at in np.array_split(every, -(-len(every) // KNOWN)):  # each to a target of its own
+                            yield _rows([_blob(_anywhere(int(ids[doc[at[0]]]), int(place[at[0]]), groups), 1, doc[at], place[at], ids, tags)])
                     first |= ~later
                 keep, kept_h = by[first], sorted_h[first]
                 target = _range(kept_h, ranges) // np.uint64(group)
