@@ -470,6 +470,17 @@ class ChosenPath:
         everywhere = F.when(F.col("last"), F.array(F.pmod(F.xxhash64("rid"), "parts"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
         return found.where(~F.col("branch")).withColumn("part", F.explode(everywhere)).withColumn("dealt", F.lit(False)).drop("parts", "branch")
 
+    def relabelled(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """(rid, label) of all sets with a link, after more links: these join components, so only their ends' labels make a graph."""
+        if labels is None:
+            return components(links, self.scratch).withColumnRenamed("node", "rid")
+        known = self.light(labels)
+        ends = links.join(known.toDF("u", "lu"), "u", "left").join(known.toDF("v", "lv"), "v", "left")
+        joined = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")), self.scratch)
+        old = labels.join(self.light(joined).toDF("label", "less"), "label", "left").select("rid", F.coalesce("less", "label").alias("label"))
+        new = joined.join(known, F.col("node") == F.col("rid"), "left_anti").select(F.col("node").alias("rid"), joined["label"])
+        return self.scratch.save(old.union(new))
+
     def run(self, docs: DataFrame, given: bool = False) -> DataFrame:
         """``docs``: (doc_id long, text string), other columns are ignored but a unique long ``rid`` that is ``given``. Returns rid, doc_id, n_shingles, component_id (smallest doc_id reachable) and first (one row of each component).
 
@@ -483,7 +494,7 @@ class ChosenPath:
         light = sets.select("rid", "doc_id", "n", "digest")
         classes = scratch.save(light.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("digest", F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("least")))
         reps = self.only(sets, classes)
-        links = labels = tested = nodes = None
+        labels = tested = nodes = None
         most = MOST
         branched = np.zeros(0, np.uint64)  # of more than ``small`` sets or HELD_SHINGLES shingles each, so few
         while True:
@@ -510,9 +521,8 @@ class ChosenPath:
                 tested = pairs
                 new = self.confirmed(pairs, sets.select("rid", "members"))
                 again = offers.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rid")).distinct()
-            links = new if links is None else scratch.save(links.union(new))
             if not new.isEmpty():
-                labels = components(links, scratch).withColumnRenamed("node", "rid")
+                labels = self.relabelled(labels, new)
             todo = branch
             if again is not None:
                 todo = again.join(self.only(reps, again).select("rid", "n", *PLANES, "tokens"), "rid").mapInArrow(_earlier(branched, self.shape), _EARLIER)

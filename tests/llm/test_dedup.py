@@ -142,9 +142,34 @@ def test_near_odd_rows(spark, odd_docs, no_docs):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200)]
-    found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
-    assert found == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0
+    for alone in (0, 1000):
+        found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test"), alone).collect()}
+        assert found == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
+        assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test"), alone).count() == 0
+
+
+def test_labels_of_one_task_equal_a_search():
+    import numpy as np
+
+    from statloom.llm.components import least_labels
+
+    rng = np.random.default_rng(9)
+    for n, m in ((50, 30), (2000, 1500), (3000, 9000)):
+        u, v = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7
+        parent = {int(x): int(x) for x in {*u, *v}}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in zip(u, v, strict=True):
+            x, y = root(int(a)), root(int(b))
+            parent[max(x, y)] = min(x, y)
+        nodes, labels = least_labels(u, v)
+        assert dict(zip(nodes.tolist(), labels.tolist(), strict=True)) == {x: root(x) for x in parent}
+    chain = rng.permutation(100_000)
+    assert (least_labels(chain[:-1], chain[1:])[1] == 0).all()
 
 
 def brute_repeats(rows, width=20):
