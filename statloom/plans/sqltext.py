@@ -53,6 +53,12 @@ def normal_cdf(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN 1 - 0.5*{poly}*exp(-({z})*({z})/2) ELSE 0.5*{poly}*exp(-({z})*({z})/2) END)"
 
 
+def normal_sf(z: str) -> str:
+    """The upper tail by the series in odd powers over double factorials, to about 1e-15."""
+    term = f"exp((2*q.k + 1)*ln(greatest(abs({z}), 1e-300)) - (q.k + 1)*ln(2.0) - lgamma(q.k + 1.5) + 0.5*ln(pi()))"
+    return f"(CASE WHEN abs({z}) > 12 THEN CASE WHEN {z} > 0 THEN 0.0 ELSE 1.0 END ELSE 0.5 - sign({z})*exp(-({z})*({z})/2)/sqrt(2*pi())*(SELECT sum({term}) FROM (SELECT CAST(unnest(range(300)) AS DOUBLE) AS k) AS q) END)"
+
+
 def acklam(p: str) -> str:
     from statloom.functions.special import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLAM_TAIL
 
