@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,13 +15,13 @@ from statloom.operators import penalized
 from statloom.operators.linear import linear
 from statloom.plans import solve
 from statloom.plans.moments import Moments, from_row, moment_columns, number
-from statloom.plans.ordered import blocks, number_rows
+from statloom.plans.ordered import blocks, generated, number_rows
 
 
-def fisher_yates(n: int, seed: int = 42) -> list[int]:
+def fisher_yates(n: int, seed: int = 42) -> array:
     """The permutation that a linear congruential generator of modulus 2**32 drives, low bits rejected until below the bound."""
     state, mask = (seed + 1) & 0xFFFFFFFFFFFFFFFF, 0xFFFFFFFF
-    out = list(range(n))
+    out = array("q", range(n))
     for i in range(n - 1, 0, -1):
         bound = i + 1
         limit = mask // bound * bound
@@ -33,23 +34,23 @@ def fisher_yates(n: int, seed: int = 42) -> list[int]:
     return out
 
 
-#: Rows up to which a sequential generator shuffles.
-SEQUENTIAL = 5000
+#: Rows up to which a generated order is broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
-def with_folds(df: DataFrame, order_by: str, folds: int, shuffle: bool = False, seed: int = 42, sequential: int = SEQUENTIAL) -> DataFrame:
-    """A column ``fold`` from 1: contiguous blocks in order, the first ones a row longer. Shuffled: blocks of the sequential generator's order up to ``sequential`` rows, beyond it of the order of a seeded hash, which needs no driver."""
+def with_folds(df: DataFrame, order_by: str, folds: int, shuffle: bool = False, seed: int = 42, sequential: int | None = None) -> DataFrame:
+    """A column ``fold`` from 1: contiguous blocks in order, the first ones a row longer. Shuffled: blocks of the sequential generator's order, which one task makes; with ``sequential``, only up to so many rows, and beyond it of the order of a seeded hash, which no task holds."""
     if folds < 2:
         raise InvalidInput("two folds are needed")
-    few = shuffle and df.limit(sequential + 1).count() <= sequential
-    key = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order_by).cast("string"))), F.col(order_by)) if shuffle and not few else order_by
+    drawn = shuffle and (sequential is None or df.limit(sequential + 1).count() <= sequential)
+    key = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order_by).cast("string"))), F.col(order_by)) if shuffle and not drawn else order_by
     numbered = number_rows(df, key, {c: F.col(f"`{c}`") for c in df.columns})
     if numbered.n < folds:
         raise InsufficientData(folds, numbered.n)
-    if few:
-        places = [(i + 1, t + 1) for t, i in enumerate(fisher_yates(numbered.n, seed))]
-        order = numbered.spark.createDataFrame(places, "_t long, _place long")
-        rows = numbered.rows.join(F.broadcast(order), "_t")
+    if drawn:
+        n = numbered.n
+        order = generated(numbered.spark, n, 1, lambda r: fisher_yates(n, seed)).select(F.col("_from").alias("_t"), F.col("_t").alias("_place"))
+        rows = numbered.rows.join(F.broadcast(order) if n <= BROADCAST_ROWS else order.hint("merge"), "_t")
         return rows.select(*(F.col(f"`{c}`") for c in df.columns), blocks(F.col("_place"), numbered.n, folds).alias("fold"))
     return numbered.rows.select(*(F.col(f"`{c}`") for c in df.columns), blocks(F.col("_t"), numbered.n, folds).alias("fold"))
 
@@ -63,7 +64,7 @@ def metrics(actual: Column, predicted: Column) -> dict[str, Column]:
     return {"mse": mse, "rmse": F.sqrt(mse), "mae": F.coalesce(F.avg(F.abs(e)), F.lit(0.0)), "r_squared": r2}
 
 
-def cross_validate(df: DataFrame, y: str, x: Sequence[str], order_by: str, folds: int = 5, kind: str = "ols", lam: float = 1.0, alpha: float = 0.5, standardize: bool = True, shuffle: bool = False, seed: int = 42, columns: dict[str, Column] | None = None, sequential: int = SEQUENTIAL) -> tuple[DataFrame, DataFrame]:
+def cross_validate(df: DataFrame, y: str, x: Sequence[str], order_by: str, folds: int = 5, kind: str = "ols", lam: float = 1.0, alpha: float = 0.5, standardize: bool = True, shuffle: bool = False, seed: int = 42, columns: dict[str, Column] | None = None, sequential: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A row for each fold (fold, train_size, test_size, mse, rmse, mae, r_squared, train_r_squared), and a row for each fold and term (coefficient).
 
     Two passes: the folds' moments, then all folds' errors at once with each row's own fold's coefficients.

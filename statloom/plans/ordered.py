@@ -10,9 +10,11 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,19 @@ def number_rows(df: DataFrame, order_by: str | Column, columns: dict[str, Column
     return Ordered(rows.select(*columns, (F.col("_start") + place + 1).alias("_t"), "_p"), total, starts)
 
 
+def generated(spark: SparkSession, n: int, orders: int, order: Callable[[int], Sequence[int]]) -> DataFrame:
+    """A row (_r, _t, _from) for each entry of ``order(r)``, r from 0: a permutation of 0 to n - 1, here from 1. A task makes each; only its worker holds it, with 8 bytes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.column(0).to_pylist()):
+            made = order(r)
+            for s in range(0, n, 1 << 16):
+                own = np.array(made[s : s + (1 << 16)], np.int64) + 1
+                yield pa.record_batch({"_r": pa.array(np.full(len(own), r)), "_t": pa.array(np.arange(s + 1, s + 1 + len(own))), "_from": pa.array(own)})
+
+    return spark.range(0, orders, 1, orders).mapInArrow(run, "_r long, _t long, _from long")
+
+
 def blocks(t: Column, n: int, folds: int) -> Column:
     """The fold (from 1) of row t when n rows fall into contiguous blocks, the first ones a row longer."""
     size, longer = divmod(n, folds)

@@ -164,6 +164,15 @@ def test_cross_validation(noise):
         V.cross_validate(noise, "y", NAMES, "i", 1)
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_many_rows_fall_into_sequential_folds(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(V, "BROADCAST_ROWS", broadcast, raising=False)
+    n = 70_001
+    found = {r["id"]: r["fold"] for r in V.with_folds(spark.range(n), "id", 7, True, 7).collect()}
+    sizes = [n // 7 + (f < n % 7) for f in range(7)]
+    assert len(found) == n and [found[i] for i in V.fisher_yates(n, 7)] == [f + 1 for f, size in enumerate(sizes) for _ in range(size)]
+
+
 def test_importance(noise):
     fit = L.ols(noise, "y", NAMES)
     shap = I.shap_values(fit).collect()
