@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from statloom.operators.loess import LoessFit, fit_points, neighborhood_size, no
 from statloom.operators.penalized import PenalizedFit
 from statloom.plans import solve
 from statloom.plans.moments import Moments, moments, number
-from statloom.plans.ordered import Ordered, number_rows
+from statloom.plans.ordered import Ordered, generated, number_rows
 
 
 def standardized_coefficients(df: DataFrame, coefficients: Sequence[float], x: Sequence[str], y_std: float = 1.0, columns: dict[str, Column] | None = None) -> DataFrame:
@@ -65,16 +66,27 @@ class Lcg:
         self.state = (self.state * 1664525 + 1013904223) & 0xFFFFFFFFFFFFFFFF
         return (self.state >> 11) / (1 << 53)
 
-    def shuffle(self, n: int) -> list[int]:
-        out = list(range(n))
+    def skip(self, draws: int) -> Lcg:
+        """As after so many numbers."""
+        a, c = 1664525, 1013904223
+        while draws:
+            if draws & 1:
+                self.state = (self.state * a + c) & 0xFFFFFFFFFFFFFFFF
+            a, c, draws = a * a & 0xFFFFFFFFFFFFFFFF, c * (a + 1) & 0xFFFFFFFFFFFFFFFF, draws >> 1
+        return self
+
+    def shuffle(self, n: int) -> array:
+        out = array("q", range(n))
         for i in range(n - 1, 0, -1):
             j = int(self.next() * (i + 1))
             out[i], out[j] = out[j], out[i]
         return out
 
 
-#: Rows up to which the sequential generator shuffles.
-SEQUENTIAL = 5000
+#: Rows up to which the driver shuffles.
+FEW = 5000
+#: Bytes of rows up to which they are broadcast to the orders; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def _shuffled_products(table: np.ndarray, permutations: int, rng: Lcg) -> list[np.ndarray]:
@@ -83,6 +95,18 @@ def _shuffled_products(table: np.ndarray, permutations: int, rng: Lcg) -> list[n
     return [np.stack([d[rng.shuffle(len(d)), j] @ d for _ in range(permutations)]) for j in range(d.shape[1] - 1)]
 
 
+def _drawn_products(numbered: Ordered, names: list[str], permutations: int, seed: int) -> list[np.ndarray]:
+    """The same products of the same shuffles, of however many rows: each order is made in a task, from the stream's state at its start, and joined with the rows on either number."""
+    rows, n, k = numbered.rows, numbered.n, len(names) - 1
+    orders = generated(numbered.spark, n, k * permutations, lambda r: Lcg(seed).skip(r * (n - 1)).shuffle(n))
+    own = rows.select(F.col("_t").alias("_from"), F.array(*(F.col(v).cast("double") for v in names[:-1])).alias("_own"))
+    put = F.broadcast if 8 * n * (k + 2) <= BROADCAST_BYTES else lambda df: df.hint("merge")
+    moved = orders.join(put(own), "_from").select("_r", "_t", F.get("_own", F.floor(F.col("_r") / permutations).cast("int")).alias("_moved"))
+    sums = moved.join(put(rows.select("_t", *names)), "_t").groupBy("_r").agg(*(F.covar_pop("_moved", w).alias(w) for w in names)).collect()  # a row for each permutation
+    by = {s["_r"]: [s[w] * n for w in names] for s in sums}
+    return [np.array([by[j * permutations + r] for r in range(permutations)]) for j in range(k)]
+
+
 def _moved_products(numbered: Ordered, names: list[str], permutations: int, rng: Lcg) -> list[np.ndarray]:
     """The same where row t gets the values of row a t + b modulo n, a random a without common factors with n: one join on the number for all permutations, and one aggregate."""
     rows, n = numbered.rows, numbered.n
@@ -100,21 +124,23 @@ def _moved_products(numbered: Ordered, names: list[str], permutations: int, rng:
     return [np.array([[by[r][f"{v}_{w}"] * n for w in names] for r in range(permutations)]) for v in names[:-1]]
 
 
-def permutation_importance(fit: LinearFit | PenalizedFit, order_by: str, permutations: int = 50, seed: int = 42, refit: bool | None = None, alpha: float = 0.05, sequential: int = SEQUENTIAL) -> DataFrame:
+def permutation_importance(fit: LinearFit | PenalizedFit, order_by: str, permutations: int = 50, seed: int = 42, refit: bool | None = None, alpha: float = 0.05, sequential: int | None = None) -> DataFrame:
     """variable, importance (mean loss of R squared), std_error, the normal interval and rank (by importance).
 
-    A permuted column changes only its products with the others, so each permutation needs sums alone. Up to ``sequential`` rows are shuffled by the sequential generator
-    on the driver; more rows are numbered once and moved by random affine maps of their number, all permutations in one join. Least squares is refitted, penalised fits predict.
+    A permuted column changes only its products with the others, so each permutation needs sums alone. The sequential generator shuffles, few rows on the driver and more in a task for each permutation;
+    with ``sequential``, only up to so many rows, and more are moved by random affine maps of their number, which no task holds, all permutations in one join. Least squares is refitted, penalised fits predict.
     """
     refit = isinstance(fit, LinearFit) if refit is None else refit
     x, k = fit.x, len(fit.x)
     names = [f"v{i}" for i in range(k + 1)]
     numbered = number_rows(fit.df, order_by, {n: fit.columns[c] for c, n in zip([*x, fit.y], names, strict=True)})
     rng = Lcg(seed)
-    if numbered.n <= sequential:
+    if sequential is not None and numbered.n > sequential:
+        products = _moved_products(numbered, names, permutations, rng)
+    elif numbered.n <= FEW:
         products = _shuffled_products(np.array([list(r)[1:] for r in numbered.rows.select("_t", *names).orderBy("_t").collect()], float), permutations, rng)
     else:
-        products = _moved_products(numbered, names, permutations, rng)
+        products = _drawn_products(numbered, names, permutations, seed)
     p = fit.moments.pick([*x, fit.y])
     base = Moments(names, float(numbered.n), p.mean, p.s, numbered.n)
     coefficients = np.array([0.0 if math.isnan(b) else b for b in fit.coefficients[1:]])

@@ -205,6 +205,30 @@ def test_importance(noise):
     assert ranks == sorted(ranks)
 
 
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_many_rows_are_permuted_by_the_stream(spark, monkeypatch, limit):
+    """All shuffles of a stream that tasks enter in the middle, held against one that runs through."""
+    monkeypatch.setattr(I, "BROADCAST_BYTES", limit, raising=False)
+    n = 5003
+    rows = spark.range(n).selectExpr("id", "pmod(xxhash64(id), 1000) / 1000 AS a", "pmod(xxhash64(id, 7), 1000) / 1000 + id / 5003 AS b").selectExpr("*", "2 * a + b + pmod(xxhash64(id, 9), 1000) / 500 AS y")
+    found = {r["variable"]: r for r in I.permutation_importance(L.ols(rows, "y", ["a", "b"]), "id", 3).collect()}
+    table = np.array([[r["a"], r["b"], r["y"]] for r in rows.orderBy("id").collect()], float)
+    x, y, rng = table[:, :2], table[:, 2], I.Lcg(42)
+
+    def rss(own):
+        design = np.column_stack([np.ones(n), own])
+        return ((y - design @ np.linalg.lstsq(design, y, rcond=None)[0]) ** 2).sum()
+
+    for j, name in enumerate("ab"):
+        losses = []
+        for _ in range(3):
+            own = x.copy()
+            own[:, j] = own[rng.shuffle(n), j]
+            losses.append((rss(own) - rss(x)) / ((y - y.mean()) ** 2).sum())
+        assert found[name]["importance"] == pytest.approx(np.mean(losses), abs=1e-9)
+        assert found[name]["std_error"] == pytest.approx(np.std(losses, ddof=1) / 3**0.5, abs=1e-9)
+
+
 def test_influence_by_refits(noise):
     small = noise.where("i < 60")
     x, y = arrays(small, ["a", "b"])
