@@ -229,6 +229,27 @@ def test_many_rows_are_permuted_by_the_stream(spark, monkeypatch, limit):
         assert found[name]["std_error"] == pytest.approx(np.std(losses, ddof=1) / 3**0.5, abs=1e-9)
 
 
+def test_all_importance_of_many_rows_has_the_stream(spark):
+    """Its permutation column is the stream's beyond few rows too; the other columns don't depend on the shuffles."""
+    n = 5003
+    rows = spark.range(n).selectExpr("id", "id / 5003 AS a", "CAST(id % 7 AS DOUBLE) AS b").selectExpr("*", "a + b / 10 + pmod(xxhash64(id, 9), 1000) / 5000 AS y")
+    found = {r["variable"]: r["importance"] for r in I.all_importance(L.ols(rows, "y", ["a", "b"]), "id", 3).collect()}
+    table = np.array([[r["a"], r["b"], r["y"]] for r in rows.orderBy("id").collect()], float)
+    y, rng = table[:, 2], I.Lcg(42)
+
+    def r2(own):
+        design = np.column_stack([np.ones(n), own])
+        return 1 - ((y - design @ np.linalg.lstsq(design, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+    for j, name in enumerate("ab"):
+        losses = []
+        for _ in range(3):
+            own = table[:, :2].copy()
+            own[:, j] = own[rng.shuffle(n), j]
+            losses.append(r2(table[:, :2]) - r2(own))
+        assert found[name] == pytest.approx(np.mean(losses), abs=1e-9)
+
+
 def test_influence_by_refits(noise):
     small = noise.where("i < 60")
     x, y = arrays(small, ["a", "b"])
