@@ -31,6 +31,8 @@ RANGE = 1_500_000
 DIRECT = 2048
 #: Entries of a group of ranges that are dealt to its ranges together.
 REGROUPED = 4_000_000
+#: Shares of the documents whose intervals a task writes, one after another: a file for each would be small, and each costs processes on a local disk.
+SHARES_A_FILE = 8
 #: Known repeats of an array.
 KNOWN = 50_000
 #: Bytes of intervals that are broadcast at most; more are joined by a shuffle.
@@ -328,7 +330,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WINDOW, ke
     if group > 1:
         hashed = hashed.repartitionById(-(-ranges // group), F.col("target")).mapInArrow(_regrouped(ranges), _BLOB)
     repeats = hashed.repartitionById(ranges, F.col("target")).sortWithinPartitions("target").mapInArrow(_repeats(ranges), _BLOB)
-    merged = repeats.repartitionById(ranges, F.col("target")).sortWithinPartitions("target").mapInArrow(_merged(width), "id long, tag long, begins array<long>, ends array<long>")
+    shares = repeats.repartitionById(ranges, F.col("target")).sortWithinPartitions("target").coalesce(-(-ranges // SHARES_A_FILE))
+    merged = shares.mapInArrow(_merged(width), "id long, tag long, begins array<long>, ends array<long>")
     intervals = scratch.save(merged)
     tagged = rows.mapInArrow(_tagged, "doc_id long, text string, tag long") if several else rows.withColumn("tag", F.lit(0).cast("long"))
     if (intervals.agg(F.sum(80 + 16 * F.size("begins"))).first()[0] or 0) <= BROADCAST_BYTES:

@@ -204,6 +204,18 @@ def test_repeated_windows_across_ranges(spark, docs, small_docs, monkeypatch):
         assert found == wanted
 
 
+def test_intervals_are_saved_in_few_files(spark, docs, small_docs, monkeypatch):
+    """A file for each range would be many small ones."""
+    from statloom.llm import substring
+
+    parts = []
+    plain = substring.Scratch.save
+    monkeypatch.setattr(substring.Scratch, "save", lambda self, df: parts.append(df.rdd.getNumPartitions()) or plain(self, df))
+    letters = sum(len(r[1] or "") for r in small_docs)
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(spark, docs, entries=letters / 6 / 40).collect()}
+    assert parts == [5] and found == brute_repeats([(r[0], r[1] or "") for r in small_docs])
+
+
 def counted_here(rows, width, ranges, group, share=None):
     """The steps of the operator in one process: (doc_id, removed words) and the entries that each target gets of known repeats."""
     import pyarrow as pa
