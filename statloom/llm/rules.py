@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,10 @@ def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return c[ends] - c[starts]
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stats(batches: Iterator[pa.RecordBatch], keep_text: bool = True) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs = texts(b.column("text"))
+        b = b if keep_text else b.drop_columns(["text"])
         for part in slices([len(d) for d in docs], 2_000_000):
             own = docs[part]
             words = [d.split() for d in own]
@@ -84,10 +86,10 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*(c[part.start : part.stop] for c in b.columns), *(pa.array(out[c].astype(np.int64)) for c in COUNTS)], names=[*b.schema.names, *COUNTS])
 
 
-def text_stats(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, text among them, and COUNTS of each whole text, as longs. Null text: all 0. Lines are split at newlines alone and count if they hold a word."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{c} long" for c in COUNTS])
-    return docs.mapInArrow(_stats, schema)
+def text_stats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """The columns of ``docs``, text among them unless it isn't kept, and COUNTS of each whole text, as longs. Null text: all 0. Lines are split at newlines alone and count if they hold a word."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text"] + [f"{c} long" for c in COUNTS])
+    return docs.mapInArrow(_stats if keep_text else partial(_stats, keep_text=False), schema)
 
 
 #: What conditions are about: shares of words, characters and lines.

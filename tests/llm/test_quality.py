@@ -210,6 +210,17 @@ def test_scores_equal_brute_force(spark, docs, small_docs):
         assert found[i]["kept"] == ((weak[letters[i]] + found[i]["score"]) / 2 >= 0.5) or abs(weak[letters[i]] + found[i]["score"] - 1) < 1e-4
 
 
+def test_statistics_are_computed_once(spark, docs, odd_docs, no_docs):
+    """Scoring doesn't count the words again; a pattern finds its row even without an id or with one of several texts."""
+    assert weaklabel.classify(spark, docs)._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    odd = odd_docs.select("doc_id", "text").unionAll(spark.createDataFrame([(None, "z " * 70), (0, "z " * 70), (0, "%"), (None, "%"), (0, None), (0, "")], "doc_id long, text string"))
+    letters = weaklabel.F.concat(*(weaklabel.F.element_at(weaklabel.F.array(*map(weaklabel.F.lit, "-bg")), v + 2) for v in weaklabel.labellers().values()))
+    wanted = rules.text_stats(odd).select("doc_id", letters.alias("pattern")).collect()
+    found = weaklabel.classify(spark, odd)
+    assert found.columns == weaklabel.classify(spark, no_docs).columns
+    assert sorted(map(str, found.select("doc_id", "pattern").collect())) == sorted(map(str, wanted)) and len(wanted) == 12
+
+
 def test_samples_of_any_size_are_bounded(spark):
     """Hash shares are exact far below one in a million."""
     from statloom.llm.common import hash_share
