@@ -250,6 +250,18 @@ def test_all_importance_of_many_rows_has_the_stream(spark):
         assert found[name] == pytest.approx(np.mean(losses), abs=1e-9)
 
 
+def test_mean_abs_shap_of_large_keys_is_exact(spark):
+    """Of a predictor as large as shifted keys the sixth decimal is the rounding error of a plain sum; the sums here have none, in any order and partitions."""
+    rows = spark.range(6000).selectExpr("id", "CAST(id % 1000 + 1000000 * (id DIV 1000) AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b").selectExpr("*", "100 * a + b + pmod(xxhash64(id, 9), 1000) / 100 AS y")
+    for own in (rows.coalesce(1), rows.repartition(5), rows.coalesce(1).sort("b", "id")):
+        fit = L.ols(own, "y", ["a", "b"])
+        found = {r["variable"]: r["mean_abs_shap"] for r in I.mean_abs_shap(fit).collect()}
+        for j, c in enumerate("ab"):
+            mean = float(fit.moments.pick([c]).mean[0])
+            wanted = abs(fit.coefficients[j + 1]) * (math.fsum(abs(r[c] - mean) for r in rows.collect()) / 6000)
+            assert found[c] == pytest.approx(wanted, rel=5e-16)
+
+
 def test_influence_by_refits(noise):
     small = noise.where("i < 60")
     x, y = arrays(small, ["a", "b"])
