@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2000
+#: Shuffle partitions for each file of a table that is written in few files.
+PARTITIONS_A_FILE = 8
 #: Words kept in a worker's hash cache before it starts anew, and bytes up to which one is kept.
 CACHE_WORDS, CACHE_LONG = 150_000, 200
 
@@ -26,11 +28,12 @@ class Scratch:
     """Parquet tables in the shared folder of ``spark.checkpoint.dir``; they cut lineage and survive lost executors.
 
     Only where the setting is absent (tests, one machine) a temporary folder is set.
+    With ``few``, tasks write several partitions one after another, into so many files for each core at least: a file for each partition would be small, and each costs processes on a local disk.
     ``drop`` deletes a table once nothing reads it any more; results may be read as long as the driver lives, so the rest goes when it ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, few: int = 0):
+        self.spark, self.few = spark, few
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.startswith("local"):
@@ -43,10 +46,12 @@ class Scratch:
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self._delete, self.root, True)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, few: int | None = None) -> DataFrame:
         """Write ``df`` and read it again."""
         self.count += 1
         path = f"{self.root}/{self.count}"
+        if few := self.few if few is None else few:
+            df = df.coalesce(max(few * self.spark.sparkContext.defaultParallelism, -(-partitions(self.spark) // PARTITIONS_A_FILE)))
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)

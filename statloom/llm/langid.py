@@ -133,7 +133,7 @@ def identify(spark: SparkSession, pages: DataFrame, model: TextModel, temper: fl
     n = len(model.langs)
     if not n:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"))
-    scratch = Scratch(spark, "lang")
+    scratch = Scratch(spark, "lang", few=2)
 
     def found(column: str, pattern: str) -> Column:
         x = F.lower(F.regexp_extract(F.col(column).cast("string"), pattern, 1))

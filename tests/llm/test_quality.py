@@ -111,6 +111,18 @@ def test_fused_evidence(spark, sf_dir):
     assert langid.identify(spark, spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+def test_pages_are_saved_in_few_files(spark, sf_dir, monkeypatch):
+    """Whatever their partitions, with the same result."""
+    from statloom.llm import langid
+
+    written = []
+    plain = langid.Scratch.save
+    monkeypatch.setattr(langid.Scratch, "save", lambda self, df, *a, **b: written.append(len((out := plain(self, df, *a, **b)).inputFiles())) or out)
+    pages, model = spark.read.parquet(f"{sf_dir}/pages.parquet"), langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    one, many = ({r["page_id"]: (r["text_lang"], r["lang"]) for r in langid.identify(spark, p, model).collect()} for p in (pages.coalesce(1), pages.repartition(60)))
+    assert one == many and max(written) <= 16
+
+
 def test_page_text():
     assert langid.page_text(b"<!-- a --><style>b{}</style>c &amp; <b>d</b><script>e</script>").split() == [b"c", b"&", b"d"]
 
