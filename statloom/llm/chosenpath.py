@@ -417,7 +417,8 @@ class ChosenPath:
 
     def __init__(self, spark: SparkSession, k: int = 5, threshold: float = 0.8, small: int = SMALL, recall: float = 0.9999):
         self.spark, self.k, self.threshold, self.small, self.shape = spark, k, threshold, small, shape(threshold, recall)
-        self.scratch = Scratch(spark, "near")
+        # few files, except where tasks hold whole sets or compare them
+        self.scratch = Scratch(spark, "near", few=8)
 
     def light(self, table: DataFrame, width: int = 24) -> DataFrame:
         """The table, to be broadcast if its rows of that many bytes are few."""
@@ -435,7 +436,7 @@ class ChosenPath:
         need = self.scratch.save(teams.select("a", "team", F.lit(False).alias("lead"), F.col("b").alias("rid")).union(leads))
         rows = sets.join(self.light(need, 32), "rid")
         rows = rows.select("a", "team", "lead", "rid", "members").repartition("a", "team").sortWithinPartitions("a", "team", F.col("lead").desc())
-        links = self.scratch.save(rows.mapInArrow(_verify(self.threshold), "u long, v long"))
+        links = self.scratch.save(rows.mapInArrow(_verify(self.threshold), "u long, v long"), few=0)
         self.scratch.drop(need)
         return links
 
@@ -490,7 +491,7 @@ class ChosenPath:
         scratch = self.scratch
         rows = docs.select(*(["rid"] if given else []), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         rows = rows if given else with_row_id(rows)
-        sets = scratch.save(rows.mapInArrow(_summary(self.k), _SUMMARY))
+        sets = scratch.save(rows.mapInArrow(_summary(self.k), _SUMMARY), few=0)
         light = sets.select("rid", "doc_id", "n", "digest")
         classes = scratch.save(light.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select("digest", F.col("best.rid").alias("rid"), F.col("best.doc_id").alias("least")))
         reps = self.only(sets, classes)
@@ -512,10 +513,10 @@ class ChosenPath:
                 found = self.first(reps)
             if most > 8 * MOST:
                 found = found.join(self.only(sets, every.where(~F.col("branch"))).select("rid", "members"), "rid")
-                new = scratch.save(found.repartition("node", "part").sortWithinPartitions("node", "part", "last", "rid").mapInArrow(_exact(self.threshold), "u long, v long"))
+                new = scratch.save(found.repartition("node", "part").sortWithinPartitions("node", "part", "last", "rid").mapInArrow(_exact(self.threshold), "u long, v long"), few=0)
             else:
                 found = found.repartition("node", "part").sortWithinPartitions("node", "part", "last", "rid") if full else found
-                offers = scratch.save(found.mapInArrow(_offer(self.threshold, full, most), _OFFER))
+                offers = scratch.save(found.mapInArrow(_offer(self.threshold, full, most), _OFFER), few=0)
                 pairs = offers.where("kind = 0").select("a", "b").distinct()
                 pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
                 tested = pairs

@@ -140,6 +140,31 @@ def test_near_odd_rows(spark, odd_docs, no_docs):
     assert [r["component_id"] for r in rows if not r["n_shingles"]] == [None]
 
 
+def test_many_partitions_are_saved_in_few_files(spark, docs, small_docs, monkeypatch):
+    """Of the light tables: a file for each shuffle partition would be a small one. Comparing keeps all partitions."""
+    from statloom.llm import common
+
+    written, kept = [], []
+    plain = common.Scratch.save
+
+    def save(self, df, few=None):
+        out = plain(self, df, **({} if few is None else {"few": few}))
+        (written if few is None else kept).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", save)
+    own = {"spark.sql.shuffle.partitions": "600", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ChosenPath(spark, k=2).run(docs).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == brute(small_docs, 2) and max(written) <= 75
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200)]
     for alone in (0, 1000):
